@@ -23,39 +23,56 @@ def version_number(df: DataFrame, version: str):
 
 
 def snapshot_calendar(df: DataFrame, entity: str, date: str) -> DataFrame:
-    """``entity``, ``date``, its number ``seq`` (from 1), ``next_date`` (null for the last). Null dates are no snapshot."""
-    dates = df.select(entity, date).filter(F.col(date).isNotNull()).distinct()
-    w = Window.partitionBy(entity).orderBy(date)
-    return dates.withColumn("seq", F.row_number().over(w)).withColumn("next_date", F.lead(date).over(w))
+    """Snapshots of each entity: ``__e``, ``__d`` and the snapshot's number ``seq`` (from 1). Null dates are no snapshot."""
+    dates = df.select(F.col(entity).alias("__e"), F.col(date).alias("__d")).filter("__d is not null").distinct()
+    return dates.withColumn("seq", F.row_number().over(Window.partitionBy("__e").orderBy("__d")))
 
 
-def validity_intervals(df: DataFrame, entity: str, date: str, keys: list[str], values: list[str], version: str) -> DataFrame:
-    """Longest runs of consecutive snapshots in which a key is there with the same ``values``.
-
-    Columns: ``entity``, ``keys``, ``first_seq``, ``last_seq``, ``valid_from``, ``valid_to`` (dates of the first and last
-    snapshot of the run), ``next_date`` (the snapshot after the run, null if there is none), ``__hash``.
+def _runs(df: DataFrame, calendar: DataFrame, entity: str, date: str, keys: list[str], values: list[str], version: str) -> DataFrame:
+    """Runs of equal values by snapshot number: ``entity``, ``keys``, ``first_seq``, ``last_seq``, ``__hash``.
 
-    Of several deliveries of one (entity, date, keys) the greatest ``version`` holds, among equal ones the greatest row
-    hash; a null version comes before all others. Nulls in entity and keys are values like any other. Rows without a date
-    are left out.
+    Dates are replaced by their numbers before the first shuffle and looked up again for what comes out.
     """
     key = [entity, *keys]
     rows = df.filter(F.col(date).isNotNull()).select(*key, date, version_number(df, version).alias("__v"), row_hash(*values).alias(HASH))
+    dated = rows.join(calendar, same(rows, calendar, [(entity, "__e"), (date, "__d")])).select(*key, "seq", "__v", HASH)
     # Copies fold on the map side into one row per version; the winner is picked after the shuffle that the runs need anyway.
-    versions = rows.groupBy(*key, date, "__v").agg(F.max(HASH).alias(HASH))
-    calendar = sized_broadcast(cut(snapshot_calendar(df, entity, date)), 120)
-    calendar = calendar.select(F.col(entity).alias("__e"), F.col(date).alias("__d"), "seq", "next_date")
-    dated = versions.join(calendar, same(versions, calendar, [(entity, "__e"), (date, "__d")]))
+    versions = dated.groupBy(*key, "seq", "__v").agg(F.max(HASH).alias(HASH))
     w = Window.partitionBy(*key).orderBy("seq", "__v")
-    valid = dated.withColumn("__after", F.lead("seq").over(w)).filter("__after is null or __after <> seq")
+    valid = versions.withColumn("__after", F.lead("seq").over(w)).filter("__after is null or __after <> seq")
     w = Window.partitionBy(*key).orderBy("seq")
     opens = (F.lag("seq").over(w) != F.col("seq") - 1) | (F.lag(HASH).over(w) != F.col(HASH))
     marked = valid.withColumn("__opens", F.coalesce(opens, F.lit(True)))
     borders = marked.withColumn("__closes", F.coalesce(F.lead("__opens").over(w), F.lit(True))).filter("__opens or __closes")
     # Only a run's first and last rows are left, in order, so the last one is the row itself or its neighbour.
-    last = lambda c: F.when(F.col("__closes"), F.col(c)).otherwise(F.lead(c).over(w))
-    runs = borders.select(*key, "__opens", F.col("seq").alias("first_seq"), last("seq").alias("last_seq"), F.col(date).alias("valid_from"), last(date).alias("valid_to"), last("next_date").alias("next_date"), HASH)
-    return runs.filter("__opens").drop("__opens")
+    last = F.when(F.col("__closes"), F.col("seq")).otherwise(F.lead("seq").over(w))
+    return borders.select(*key, "__opens", F.col("seq").alias("first_seq"), last.alias("last_seq"), HASH).filter("__opens").drop("__opens")
+
+
+def _calendar(df: DataFrame, entity: str, date: str) -> DataFrame:
+    return sized_broadcast(cut(snapshot_calendar(df, entity, date)), 120)
+
+
+def _date_of(rows: DataFrame, calendar: DataFrame, entity: str, seq: str, out: str, how: str = "inner") -> DataFrame:
+    c = calendar.select(F.col("__e").alias("__ce"), F.col("seq").alias("__cs"), F.col("__d").alias(out))
+    return rows.join(c, same(rows, c, [(entity, "__ce"), (seq, "__cs")]), how).drop("__ce", "__cs")
+
+
+def validity_intervals(df: DataFrame, entity: str, date: str, keys: list[str], values: list[str], version: str) -> DataFrame:
+    """Longest runs of consecutive snapshots in which a key is there with the same ``values``.
+
+    Columns: ``entity``, ``keys``, ``first_seq``, ``last_seq``, ``valid_from``, ``valid_to`` (dates of the first and last
+    snapshot of the run), ``next_date`` (the snapshot after the run, null if there is none).
+
+    Of several deliveries of one (entity, date, keys) the greatest ``version`` holds, among equal ones the greatest row
+    hash; a null version comes before all others. Nulls in entity and keys are values like any other. Rows without a date
+    are left out.
+    """
+    calendar = _calendar(df, entity, date)
+    runs = _runs(df, calendar, entity, date, keys, values, version).withColumn("__next", F.col("last_seq") + 1)
+    for seq, out, how in (("first_seq", "valid_from", "inner"), ("last_seq", "valid_to", "inner"), ("__next", "next_date", "left")):
+        runs = _date_of(runs, calendar, entity, seq, out, how)
+    return runs.drop(HASH, "__next")
 
 
 def snapshot_changes(df: DataFrame, entity: str, date: str, keys: list[str], values: list[str], version: str) -> DataFrame:
@@ -63,14 +80,18 @@ def snapshot_changes(df: DataFrame, entity: str, date: str, keys: list[str], val
     ``change_kind``: ``added``, ``removed`` or ``changed`` (``values`` differ; null differs from a value, not from null).
 
     A run that begins where no other ends is an addition, one that ends where no other begins a removal, two that touch a
-    change. An entity's first snapshot has nothing to be compared with, so it gives no events.
+    change. An entity's first snapshot has nothing to be compared with, so it gives no events. Versions, nulls and missing
+    dates are treated as in ``validity_intervals``.
     """
-    runs = validity_intervals(df, entity, date, keys, values, version)
+    calendar = _calendar(df, entity, date)
+    runs = _runs(df, calendar, entity, date, keys, values, version)
     w = Window.partitionBy(entity, *keys).orderBy("first_seq")
-    touches = F.lag("last_seq").over(w) == F.col("first_seq") - 1
-    followed = F.lead("first_seq").over(w) == F.col("last_seq") + 1
-    seen = runs.withColumn("__touches", F.coalesce(touches, F.lit(False))).withColumn("__followed", F.coalesce(followed, F.lit(False)))
+    touches = F.coalesce(F.lag("last_seq").over(w) == F.col("first_seq") - 1, F.lit(False))
+    followed = F.coalesce(F.lead("first_seq").over(w) == F.col("last_seq") + 1, F.lit(False))
+    seen = runs.withColumn("__touches", touches).withColumn("__followed", followed)
     start = F.when(F.col("__touches"), "changed").when(F.col("first_seq") > 1, "added")
-    end = F.when(~F.col("__followed") & F.col("next_date").isNotNull(), "removed")
-    events = F.array(F.struct(F.col("valid_from").alias("d"), start.alias("k")), F.struct(F.col("next_date").alias("d"), end.alias("k")))
-    return seen.select(entity, *keys, F.inline(events)).filter("k is not null").select(entity, F.col("d").alias(date), *keys, F.col("k").alias("change_kind"))
+    end = F.when(~F.col("__followed"), "removed")
+    events = F.array(F.struct(F.col("first_seq").alias("__s"), start.alias("change_kind")), F.struct((F.col("last_seq") + 1).alias("__s"), end.alias("change_kind")))
+    told = seen.select(entity, *keys, F.inline(events)).filter("change_kind is not null")
+    # A run that lasts to an entity's last snapshot has no next one in the calendar, so the join drops its end.
+    return _date_of(told, calendar, entity, "__s", date).select(entity, date, *keys, "change_kind")
