@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,3 +60,17 @@ def same(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]):
     for a, b in pairs:
         cond = cond & left[a].eqNullSafe(right[b])
     return cond
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the session's Python workers, once a session, as ``--py-files`` would."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tracewell_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="tracewell-py-")) / "tracewell_package.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for p in sorted(root.rglob("*.py")):
+            out.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(target))
+    sc._tracewell_shipped = True
