@@ -92,7 +92,7 @@ def sentences(paragraph: str) -> list[str]:
         if mark[-1] == "." and "!" not in mark and "?" not in mark and end < len(paragraph):
             if paragraph[end].islower():
                 continue
-            word = paragraph[paragraph.rfind(" ", start, m.start()) + 1 : m.start()].lstrip("([\"'").lower()
+            word = paragraph[max(start, paragraph.rfind(" ", start, m.start()) + 1) : m.start()].lstrip("([\"'").lower()
             if word in ABBREVIATIONS or (len(word) == 1 and word.isalpha()):
                 continue
         if s := paragraph[start:end].strip():
