@@ -93,8 +93,8 @@ def test_latest_delivery_holds_and_null_sequence(spark):
 
 def test_canonical_names_follow_renames(spark):
     df = files(spark, [rec("f", a=1)], [rec("f", b=1)], [rec("f", c=1)], [rec("f", a="z", c=1)])
-    changes, rows = D.schema_changes(df)
-    got = {(r["file_id"], r["field"]): r["canonical"] for r in D.canonical_names(changes, rows).collect()}
+    changes, records = D.schema_changes(df)
+    got = {(r["file_id"], r["field"]): r["canonical"] for r in D.canonical_names(changes, D.profiles(records)).collect()}
     assert got[(98, "c")] == "a" and got[(99, "b")] == "a" and got[(97, "c")] == "a"
 
 

@@ -1,8 +1,9 @@
 """Schemas that drift between the files of one sequence.
 
-1. Records are parsed once, in Arrow batches, into rows of (file, field, record key, type, canonical value).
-2. Each (file, field) is profiled: counts, types and a value sketch (the least record key in each of ``SKETCH`` buckets
-   with the hash of its value, so that sketches of two fields sample the same records).
+1. The valid delivery of each record is stored once; profile and exact check read it.
+2. Each (file, field) is profiled in Arrow batches, partial profiles being merged afterwards: counts, types and a value
+   sketch (the least record key in each of ``SKETCH`` buckets with the hash of its value, so that sketches of two fields
+   sample the same records).
 3. Of each two consecutive files, fields that go are matched with fields that come. An edge needs sketches that agree, and
    then equal values for all records that have both, which is checked exactly. Where a field has several edges, an
    assignment of greatest weight (records in common, then likeness of names) decides.
@@ -16,12 +17,13 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import stored
 
-SKETCH = 64
+SKETCH = 8
 #: A field whose members are fields of their own, as long as it is an object.
 NESTED = "JavaMethodInfo"
 LONG_ROWS = "seq_name string, file_id long, written_us long, parent string, field string, rec string, kind string, value string"
@@ -93,22 +95,101 @@ def valid_records(raw: DataFrame) -> DataFrame:
     return best.select("project_name", "file_id", "written_at", "record_no", F.col("m.payload").alias("payload"))
 
 
-def long_rows(raw: DataFrame, key: str = "functionName") -> DataFrame:
-    """One row per field of each valid record; see ``_explode``. Stored, as profile and exact check both read it."""
-    rows = valid_records(raw).select("project_name", "file_id", F.unix_micros(F.col("written_at").cast("timestamp")).alias("written_us"), "payload")
-    return stored(rows.mapInArrow(_explode(key), LONG_ROWS))
+def stored_records(raw: DataFrame) -> DataFrame:
+    """``seq_name``, ``file_id``, ``written_us``, ``payload`` of the valid records, stored; a null sequence is ''."""
+    rows = valid_records(raw.withColumn("project_name", F.coalesce("project_name", F.lit(""))))
+    return stored(rows.select(F.col("project_name").alias("seq_name"), "file_id", F.unix_micros(F.col("written_at").cast("timestamp")).alias("written_us"), "payload"))
 
 
-def profiles(rows: DataFrame) -> DataFrame:
-    """One row per (file, parent, field): ``n``, ``n_values``, ``kinds`` (sorted), ``sketch`` (bucket -> record and value hash)."""
-    has = F.col("value").isNotNull() & F.col("rec").isNotNull()
-    h = F.when(has, F.xxhash64("rec"))
-    bucketed = rows.withColumn("h", h).withColumn("bucket", F.pmod("h", F.lit(SKETCH)))
-    part = bucketed.groupBy("seq_name", "file_id", "written_us", "parent", "field", "bucket", "kind").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("n_values"), F.min(F.when(has, F.struct("h", F.xxhash64("value").alias("v")))).alias("least"))
-    return part.groupBy("seq_name", "file_id", "written_us", "parent", "field").agg(
-        F.sum("n").alias("n"), F.sum("n_values").alias("n_values"), F.sort_array(F.collect_set("kind")).alias("kinds"),
-        F.collect_list(F.when(F.col("least").isNotNull(), F.struct("bucket", "least.h", "least.v"))).alias("sketch"),
-    )
+def long_rows(records: DataFrame, key: str = "functionName") -> DataFrame:
+    """One row per field of each stored record; see ``_explode``."""
+    return records.mapInArrow(_explode(key), LONG_ROWS)
+
+
+def _hash(text: str) -> int:
+    h = xxhash.xxh64_intdigest(text)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _value_text(x) -> str:
+    """Text that is equal for equal values only."""
+    return f"{type(x).__name__}:{x!r}" if isinstance(x, (str, int, float)) else canonical(x)
+
+
+def _record_key(record: dict, key: str) -> str | None:
+    rec = record.get(key)
+    return None if rec is None else _printable(rec) if isinstance(rec, str) else canonical(rec)
+
+
+_PART = "seq_name string, file_id long, written_us long, parent string, field string, n long, n_values long, kinds array<string>, sketch array<struct<h: long, v: long>>"
+
+
+def _profile(key: str):
+    """Partial profiles of the fields in a batch of records: top-level ones and the members of objects."""
+    sketch = pa.list_(pa.struct([("h", pa.int64()), ("v", pa.int64())]))
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()), sketch]
+    names = ["seq_name", "file_id", "written_us", "parent", "field", "n", "n_values", "kinds", "sketch"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: dict[tuple, list] = {}
+            for seq, file_id, at, payload in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if (record := parse_object(payload)) is None:
+                    continue
+                rec = _record_key(record, key)
+                h = None if rec is None else _hash(rec)
+
+                def note(parent: str, name: str, x, file=(seq, file_id, at), h=h):
+                    p = seen.setdefault((*file, parent, _printable(name)), [0, 0, set(), [None] * SKETCH])
+                    p[0] += 1
+                    if x is not None:
+                        p[1] += 1
+                        p[2].add(_kind(x))
+                        if h is not None:
+                            entry, k = (h, _hash(_value_text(x))), h % SKETCH
+                            if p[3][k] is None or entry < p[3][k]:
+                                p[3][k] = entry
+
+                for name, x in record.items():
+                    note("", name, x)
+                    if isinstance(x, dict):
+                        for m, y in x.items():
+                            note(_printable(name), m, y)
+            rows = [(*k, n, v, sorted(t), [None if e is None else {"h": e[0], "v": e[1]} for e in sk]) for k, (n, v, t, sk) in seen.items()]
+            cols = list(zip(*rows, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+
+    return run
+
+
+def profiles(records: DataFrame, key: str = "functionName") -> DataFrame:
+    """One row per (file, parent, field): ``n``, ``n_values``, ``kinds`` (sorted), ``sketch`` (record and value hash of each bucket)."""
+    part = records.mapInArrow(_profile(key), _PART)
+    least = [F.min(F.get("sketch", F.lit(i))).alias(f"s{i}") for i in range(SKETCH)]
+    merged = part.groupBy("seq_name", "file_id", "written_us", "parent", "field").agg(F.sum("n").alias("n"), F.sum("n_values").alias("n_values"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("kinds")))).alias("kinds"), *least)
+    return merged.withColumn("sketch", F.array_compact(F.array(*[f"s{i}" for i in range(SKETCH)]))).drop(*[f"s{i}" for i in range(SKETCH)])
+
+
+def _values(key: str):
+    """Values of the wanted fields of each record; batches of (file_id, payload, [(parent, field)])."""
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for file_id, payload, wanted in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if (record := parse_object(payload)) is None or (rec := _record_key(record, key)) is None:
+                    continue
+                own = {_printable(k): v for k, v in record.items()}
+                for w in wanted:
+                    inside = own if w["parent"] == "" else {_printable(k): v for k, v in own[w["parent"]].items()} if isinstance(own.get(w["parent"]), dict) else {}
+                    x = inside.get(w["field"])
+                    if x is not None:
+                        out.append((file_id, w["parent"], w["field"], rec, canonical(x)))
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["file_id", "parent", "field", "rec", "value"])
+
+    return run
 
 
 def file_pairs(rows: DataFrame) -> DataFrame:
@@ -174,7 +255,7 @@ def _assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["seq_name", "file_b", "parent", "going", "coming"])
 
 
-def _changes(rows: DataFrame, profile: DataFrame, pairs: DataFrame) -> DataFrame:
+def _changes(records: DataFrame, profile: DataFrame, pairs: DataFrame, key_name: str) -> DataFrame:
     """Changes of the given (seq_name, file_a, file_b, parent) pairs: seq_name, file_b, parent, kind, going, coming."""
     side = lambda tag: profile.select(F.col("seq_name"), F.col("file_id").alias(f"file_{tag}"), F.col("parent"), F.col("field"), F.col("kinds").alias(f"kinds_{tag}"), F.col("sketch").alias(f"sketch_{tag}"))
     a = pairs.join(side("a"), ["seq_name", "file_a", "parent"])
@@ -189,9 +270,13 @@ def _changes(rows: DataFrame, profile: DataFrame, pairs: DataFrame) -> DataFrame
     # Both sides of this join are the few fields of one file that changed, never rows: a table of weights to be matched.
     clash = lambda x: F.exists("sketch_b", lambda y: (y["h"] == x["h"]) & (y["v"] != x["v"]))
     may = going.join(coming, key).filter(~F.exists("sketch_a", clash)).select(*key, "going", "coming")
-    values = lambda tag, name: rows.filter("value is not null and rec is not null").select("seq_name", F.col("file_id").alias(f"file_{tag}"), "parent", F.col("field").alias(name), "rec", F.col("value").alias(f"value_{tag}"))
-    one = lambda tag, name: may.select(*key, name).distinct().join(values(tag, name), ["seq_name", f"file_{tag}", "parent", name]).groupBy(*key, name, "rec").agg(F.min(f"value_{tag}").alias(f"lo_{tag}"), F.max(f"value_{tag}").alias(f"hi_{tag}"))
-    both = may.join(one("a", "going"), [*key, "going"]).join(one("b", "coming"), [*key, "coming", "rec"])
+    may = stored(may)
+    asked = may.select(F.col("file_a").alias("file_id"), "parent", F.col("going").alias("field")).unionByName(may.select(F.col("file_b").alias("file_id"), "parent", F.col("coming").alias("field")))
+    wanted = asked.groupBy("file_id").agg(F.collect_set(F.struct("parent", "field")).alias("wanted"))  # the few changed fields of a file
+    values = records.select("file_id", "payload").join(wanted, "file_id").select("file_id", "payload", "wanted").mapInArrow(_values(key_name), "file_id long, parent string, field string, rec string, value string")
+    each = stored(values.groupBy("file_id", "parent", "field", "rec").agg(F.min("value").alias("lo"), F.max("value").alias("hi")))
+    one = lambda tag, name: each.select(F.col("file_id").alias(f"file_{tag}"), "parent", F.col("field").alias(name), "rec", F.col("lo").alias(f"lo_{tag}"), F.col("hi").alias(f"hi_{tag}"))
+    both = may.join(one("a", "going"), ["file_a", "parent", "going"]).join(one("b", "coming"), ["file_b", "parent", "coming", "rec"])
     edges = both.groupBy(*key, "going", "coming").agg(F.count(F.lit(1)).alias("n"), F.min((F.col("lo_a") == F.col("lo_b")) & (F.col("hi_a") == F.col("hi_b"))).alias("equal")).filter("equal")
     gathered = edges.groupBy("seq_name", "file_b", "parent").agg(F.collect_list(F.struct("going", "coming", "n")).alias("edges"))
     renamed = stored(gathered.mapInArrow(_assign, "seq_name string, file_b long, parent string, going string, coming string"))
@@ -224,7 +309,7 @@ def aliases(renames: DataFrame, name: str = NESTED) -> DataFrame:
 
 
 def schema_changes(raw: DataFrame, nested: str = NESTED, key: str = "functionName") -> tuple[DataFrame, DataFrame]:
-    """(changes, long rows). Changes: ``project_name``, ``file_id`` (the later file), ``change_kind``, ``field_name``, ``new_name``.
+    """(changes, stored records). Changes: ``project_name``, ``file_id`` (the later file), ``change_kind``, ``field_name``, ``new_name``.
 
     A field is a top-level name in any valid payload of a file. ``added``, ``removed``; ``retyped``: the types of its
     non-null values differ (a field with nulls only has no type and is not retyped); ``renamed``: one goes, another comes,
@@ -233,30 +318,29 @@ def schema_changes(raw: DataFrame, nested: str = NESTED, key: str = "functionNam
     ``Parent.member`` while it is an object in both files under one name. Payloads that are no valid JSON object count for
     nothing; a file without any valid payload is no file. Null sequences are one sequence of their own name ''.
     """
-    named = raw.withColumn("project_name", F.coalesce("project_name", F.lit("")))
-    rows = long_rows(named, key)
-    profile = stored(profiles(rows))
+    records = stored_records(raw)
+    profile = stored(profiles(records, key))
     pairs = stored(file_pairs(profile))
     plain = pairs.select("seq_name", "file_a", "file_b")
-    top = stored(_changes(rows, profile.filter("parent = ''"), plain.withColumn("parent", F.lit(""))))
-    alias = aliases(top.filter("kind = 'renamed'"), nested)
-    seqs = pairs.select("seq_name").distinct().withColumn("alias", F.lit(nested))
-    alias = alias.unionByName(seqs).distinct()
+    # Members of every field that is an object in both files are compared along; those of ``nested`` are kept below.
     objects = profile.filter("parent = '' and kinds = array('object')").select("seq_name", "file_id", F.col("field").alias("parent"))
-    objects = objects.join(alias.withColumnRenamed("alias", "parent"), ["seq_name", "parent"], "left_semi")
     still = plain.join(objects.withColumnRenamed("file_id", "file_a"), ["seq_name", "file_a"]).join(objects.withColumnRenamed("file_id", "file_b"), ["seq_name", "file_b", "parent"], "left_semi")
-    inner = _changes(rows, profile.filter("parent <> ''"), stored(still.select("seq_name", "file_a", "file_b", "parent")))
+    asked = stored(plain.withColumn("parent", F.lit("")).unionByName(still.select("seq_name", "file_a", "file_b", "parent")))
+    every = stored(_changes(records, profile, asked, key))
+    seqs = pairs.select("seq_name").distinct().withColumn("alias", F.lit(nested))
+    alias = aliases(every.filter("kind = 'renamed' and parent = ''"), nested).unionByName(seqs).distinct()
+    inner = every.filter("parent <> ''").join(alias.withColumnRenamed("alias", "parent"), ["seq_name", "parent"], "left_semi").select(every.columns)
+    both = every.filter("parent = ''").unionByName(inner)
     dotted = lambda c: F.when(F.col("parent") == "", F.col(c)).otherwise(F.concat_ws(".", "parent", c))
-    both = top.unionByName(inner)
-    return both.select(F.col("seq_name").alias("project_name"), F.col("file_b").alias("file_id"), F.col("kind").alias("change_kind"), dotted("going").alias("field_name"), F.when(F.col("coming").isNotNull(), dotted("coming")).otherwise("").alias("new_name")), rows
+    return both.select(F.col("seq_name").alias("project_name"), F.col("file_b").alias("file_id"), F.col("kind").alias("change_kind"), dotted("going").alias("field_name"), F.when(F.col("coming").isNotNull(), dotted("coming")).otherwise("").alias("new_name")), records
 
 
-def canonical_names(changes: DataFrame, rows: DataFrame) -> DataFrame:
+def canonical_names(changes: DataFrame, profile: DataFrame) -> DataFrame:
     """``project_name``, ``file_id``, ``field``, ``canonical``: the first name of each top-level field's chain of renames.
 
     The chain is followed file by file: a rename carries the canonical name on, any other arrival begins with its own.
     """
-    files = rows.filter("parent = ''").select(F.col("seq_name").alias("project_name"), "file_id", "written_us", "field").distinct()
+    files = profile.filter("parent = ''").select(F.col("seq_name").alias("project_name"), "file_id", "written_us", "field")
     events = changes.filter("change_kind = 'renamed' and not contains(field_name, '.')").select("project_name", "file_id", "field_name", "new_name")
     steps = files.groupBy("project_name", "file_id", "written_us").agg(F.collect_set("field").alias("fields"))
     moves = events.groupBy("project_name", "file_id").agg(F.collect_list(F.struct("field_name", "new_name")).alias("moves"))
