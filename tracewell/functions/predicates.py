@@ -58,6 +58,6 @@ def strip_generics(name: Column) -> Column:
 
 def suffix_count(text: Column) -> Column:
     """Counts such as 4.68k, 9.3M or 2G as whole numbers; null for other text."""
-    number = F.expr("1") * F.regexp_extract(text, r"^\s*([0-9]+(?:\.[0-9]+)?)[kMG]?\s*$", 1)
+    number = F.regexp_extract(text, r"^\s*([0-9]+(?:\.[0-9]+)?)[kMG]?\s*$", 1)
     factor = F.when(text.endswith("k"), 1000.0).when(text.endswith("M"), 1e6).when(text.endswith("G"), 1e9).otherwise(1.0)
-    return F.when(text.rlike(r"^\s*[0-9]+(\.[0-9]+)?[kMG]?\s*$"), F.round(number.cast("double") * factor, 0).cast("long"))
+    return F.when(text.rlike(r"^\s*[0-9]+(\.[0-9]+)?[kMG]?\s*$"), F.round(number.try_cast("double") * factor, 0).cast("long"))
