@@ -93,11 +93,17 @@ def test_latest_delivery_holds_and_null_sequence(spark):
 
 def test_canonical_names_follow_renames(spark):
     df = files(spark, [rec("f", a=1)], [rec("f", b=1)], [rec("f", c=1)], [rec("f", a="z", c=1)])
-    changes, records = D.schema_changes(df)
-    got = {(r["file_id"], r["field"]): r["canonical"] for r in D.canonical_names(changes, D.profiles(records)).collect()}
+    changes, _, profile = D.schema_changes(df)
+    got = {(r["file_id"], r["field"]): r["canonical"] for r in D.canonical_names(changes, profile).collect()}
     assert got[(98, "c")] == "a" and got[(99, "b")] == "a" and got[(97, "c")] == "a"
 
 
+def test_unified_table(spark):
+    df = files(spark, [rec("f", a=1, n=None), rec("g", a=2)], [rec("f", b=1), "{broken"], [rec("f", b=1.5), {"x": [1]}])
+    got = sorted((r["file_id"], r["function_name"] or "", r["column_name"], r["column_type"], r["json_value"]) for r in D.unified_records(df).collect() if r["column_name"] != "functionName")
+    assert got == [(98, "", "x", "array", "[1]"), (98, "f", "a", "decimal", "1.5"), (99, "f", "a", "decimal", "1"), (100, "f", "a", "decimal", "1"), (100, "f", "n", None, None), (100, "g", "a", "decimal", "2")]
+
+
 def test_very_long_value_and_odd_names(spark):
     long = "x" * 300_000
     assert found(files(spark, [rec("f", a=long, **{"ü.b": 1})], [rec("f", z=long, **{"ü.b": 1})])) == {(99, "renamed", "a", "z")}

@@ -26,7 +26,6 @@ from ..runtime import stored
 SKETCH = 8
 #: A field whose members are fields of their own, as long as it is an object.
 NESTED = "JavaMethodInfo"
-LONG_ROWS = "seq_name string, file_id long, written_us long, parent string, field string, rec string, kind string, value string"
 
 
 def _kind(x) -> str | None:
@@ -58,33 +57,6 @@ def _printable(name: str) -> str:
     return name.encode("utf-8", "replace").decode()
 
 
-def _explode(key: str):
-    """Rows of one file record: its top-level fields (parent '') and the members of each object (parent = its name)."""
-    names = ["seq_name", "file_id", "written_us", "parent", "field", "rec", "kind", "value"]
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string()]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for seq, file_id, at, payload in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if (record := parse_object(payload)) is None:
-                    continue
-                rec = record.get(key)
-                rec = None if rec is None else _printable(rec) if isinstance(rec, str) else canonical(rec)
-                for name, x in record.items():
-                    name = _printable(name)
-                    out.append((seq, file_id, at, "", name, rec, _kind(x), None if x is None else canonical(x)))
-                    if isinstance(x, dict):
-                        out += [(seq, file_id, at, name, _printable(m), rec, _kind(y), None if y is None else canonical(y)) for m, y in x.items()]
-                if len(out) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
-
-    return run
-
-
 def valid_records(raw: DataFrame) -> DataFrame:
     """The record that holds of each (file, number): greatest ``ingest_ts`` (null first), then greatest payload.
 
@@ -101,11 +73,6 @@ def stored_records(raw: DataFrame) -> DataFrame:
     return stored(rows.select(F.col("project_name").alias("seq_name"), "file_id", F.unix_micros(F.col("written_at").cast("timestamp")).alias("written_us"), "payload"))
 
 
-def long_rows(records: DataFrame, key: str = "functionName") -> DataFrame:
-    """One row per field of each stored record; see ``_explode``."""
-    return records.mapInArrow(_explode(key), LONG_ROWS)
-
-
 def _hash(text: str) -> int:
     h = xxhash.xxh64_intdigest(text)
     return h - (1 << 64) if h >> 63 else h
@@ -308,8 +275,8 @@ def aliases(renames: DataFrame, name: str = NESTED) -> DataFrame:
     return hops.mapInArrow(run, "seq_name string, alias string")
 
 
-def schema_changes(raw: DataFrame, nested: str = NESTED, key: str = "functionName") -> tuple[DataFrame, DataFrame]:
-    """(changes, stored records). Changes: ``project_name``, ``file_id`` (the later file), ``change_kind``, ``field_name``, ``new_name``.
+def schema_changes(raw: DataFrame, nested: str = NESTED, key: str = "functionName") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(changes, stored records, stored profile). Changes: ``project_name``, ``file_id`` (the later file), ``change_kind``, ``field_name``, ``new_name``.
 
     A field is a top-level name in any valid payload of a file. ``added``, ``removed``; ``retyped``: the types of its
     non-null values differ (a field with nulls only has no type and is not retyped); ``renamed``: one goes, another comes,
@@ -332,7 +299,7 @@ def schema_changes(raw: DataFrame, nested: str = NESTED, key: str = "functionNam
     inner = every.filter("parent <> ''").join(alias.withColumnRenamed("alias", "parent"), ["seq_name", "parent"], "left_semi").select(every.columns)
     both = every.filter("parent = ''").unionByName(inner)
     dotted = lambda c: F.when(F.col("parent") == "", F.col(c)).otherwise(F.concat_ws(".", "parent", c))
-    return both.select(F.col("seq_name").alias("project_name"), F.col("file_b").alias("file_id"), F.col("kind").alias("change_kind"), dotted("going").alias("field_name"), F.when(F.col("coming").isNotNull(), dotted("coming")).otherwise("").alias("new_name")), records
+    return both.select(F.col("seq_name").alias("project_name"), F.col("file_b").alias("file_id"), F.col("kind").alias("change_kind"), dotted("going").alias("field_name"), F.when(F.col("coming").isNotNull(), dotted("coming")).otherwise("").alias("new_name")), records, profile
 
 
 def canonical_names(changes: DataFrame, profile: DataFrame) -> DataFrame:
@@ -359,3 +326,44 @@ def canonical_names(changes: DataFrame, profile: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string(), pa.int64(), pa.string(), pa.string()], strict=True)], ["project_name", "file_id", "field", "canonical"])
 
     return line.mapInArrow(run, "project_name string, file_id long, field string, canonical string")
+
+
+_UNIFIED = "project_name string, file_id long, function_name string, column_name string, field_name string, column_type string, json_value string"
+
+
+def _unify(key: str):
+    kinds = [pa.string(), pa.int64(), *[pa.string()] * 5]
+    names = [c.split(" ")[0] for c in _UNIFIED.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for seq, file_id, payload, columns in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if (record := parse_object(payload)) is None:
+                    continue
+                rec, own = _record_key(record, key), {_printable(k): v for k, v in record.items()}
+                for c in columns:
+                    if c["field"] in own:
+                        x = own[c["field"]]
+                        out.append((seq, file_id, rec, c["canonical"], c["field"], c["column_type"], None if x is None else canonical(x)))
+            cols = list(zip(*out, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+
+    return run
+
+
+def unified_records(raw: DataFrame, nested: str = NESTED, key: str = "functionName") -> DataFrame:
+    """All records in one consistent table: each top-level field of each valid record under its canonical name, with its
+    value as JSON text and the type that the column has over all files (integer and decimal give decimal, other mixtures
+    string; null if no file has a value).
+
+    Names and types come from changes and profiles; each file gets its few columns by one join, and records are parsed once.
+    """
+    changes, records, profile = schema_changes(raw, nested, key)
+    names = stored(canonical_names(stored(changes), profile))
+    top = profile.filter("parent = ''").select(F.col("seq_name").alias("project_name"), "file_id", "field", "kinds")
+    kinds = names.join(top, ["project_name", "file_id", "field"]).select("canonical", F.explode("kinds").alias("k")).groupBy("canonical").agg(F.collect_set("k").alias("k"))
+    kind = F.when(F.size("k") == 1, F.element_at("k", 1)).when(F.size(F.array_except("k", F.array(F.lit("integer"), F.lit("decimal")))) == 0, "decimal").otherwise("string")
+    columns = names.join(kinds.select("canonical", kind.alias("column_type")), "canonical", "left")
+    by_file = columns.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("field", "canonical", "column_type"))).alias("columns"))
+    return records.join(by_file, "file_id").select("seq_name", "file_id", "payload", "columns").mapInArrow(_unify(key), _UNIFIED)

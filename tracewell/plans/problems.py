@@ -56,20 +56,13 @@ def p2_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # 3 ------------------------------------------------------------------------------------------------------------------
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changes, _ = drift.schema_changes(table(spark, sf_dir, "raw_function_files"))
+    changes, _, _ = drift.schema_changes(table(spark, sf_dir, "raw_function_files"))
     return changes.select("file_id", "change_kind", "field_name", "new_name")
 
 
 def p3_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All records in one table: per field of a record its canonical name and its value as JSON text, with the type the
-    column has over all files (integer and decimal give decimal, other mixtures string)."""
-    changes, records = drift.schema_changes(table(spark, sf_dir, "raw_function_files"))
-    names = drift.canonical_names(drift.stored(changes), drift.profiles(records))
-    top = drift.long_rows(records).filter("parent = ''").withColumnRenamed("seq_name", "project_name").join(names, ["project_name", "file_id", "field"])
-    kinds = top.filter("kind is not null").groupBy("canonical").agg(F.collect_set("kind").alias("k"))
-    kind = F.when(F.size("k") == 1, F.element_at("k", 1)).when(F.size(F.array_except("k", F.array(F.lit("integer"), F.lit("decimal")))) == 0, "decimal").otherwise("string")
-    unified = kinds.select("canonical", kind.alias("column_type"))
-    return top.join(unified, "canonical", "left").select("project_name", "file_id", F.col("rec").alias("function_name"), F.col("canonical").alias("column_name"), F.col("field").alias("field_name"), "column_type", F.col("value").alias("json_value"))
+    """All records in one table under canonical names and types."""
+    return drift.unified_records(table(spark, sf_dir, "raw_function_files"))
 
 
 # 4 ------------------------------------------------------------------------------------------------------------------
