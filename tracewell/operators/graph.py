@@ -53,23 +53,24 @@ def parents_from_depth(nodes: DataFrame, tree: str, idx: str, depth: str) -> Dat
 
 def function_depths(order: list[str], calls: dict[str, list[str]]) -> dict[str, int]:
     """Depth of each function by the order-dependent worklist rule: functions in the given order; a stack of (name, depth)
-    starts with the direct callees at depth 1; the greatest depth popped counts, plus the stored depth of a callee that is
-    already done, which is then not entered again."""
-    done: dict[str, int] = {}
+    starts with the direct callees at depth 1; the greatest depth popped counts, seen before or not. A callee that is
+    already done is not entered: its stored depth is added, and all that it reaches counts as seen."""
+    stored_depth: dict[str, int] = {}
+    reaches: dict[str, set[str]] = {}
     for name in order:
-        stack, seen, best = [(c, 1) for c in calls.get(name, ())], set(), 0
-        while stack:
-            at, depth = stack.pop()
-            best = max(best, depth)
-            if at in seen:
-                continue
-            seen.add(at)
-            if at in done:
-                best = max(best, depth + done[at])
-                continue
-            stack += [(c, depth + 1) for c in calls.get(at, ()) if c not in seen]
-        done[name] = best
-    return done
+        open_calls, seen, deepest = [(1, c) for c in calls.get(name, ())], set(), 0
+        while open_calls:
+            depth, at = open_calls.pop()
+            deepest = max(deepest, depth)
+            if at not in seen:
+                seen.add(at)
+                if at in stored_depth:
+                    deepest = max(deepest, depth + stored_depth[at])
+                    seen |= reaches[at]
+                else:
+                    open_calls.extend((depth + 1, c) for c in calls.get(at, ()))
+        stored_depth[name], reaches[name] = deepest, seen
+    return stored_depth
 
 
 def call_tree_lines(entry: str, calls: dict[str, list[tuple[str, int]]]) -> list[tuple[int, str, int]]:
