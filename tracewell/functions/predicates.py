@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 BLOCKED_CALLEES = r"^__sanitizer|^llvm\.|^__assert|.*printf$"
 MERGE_EXCLUDED = r"sanitizer|llvm|LLVMFuzzerTestOneInput"
 KEYWORDS = ("deserialize", "parse", "parse_xml", "read_file", "read_json", "read_xml", "request", "parse_header", "parse_request", "compress", "file_read", "read_message", "load_image")
-PUBLIC_EXCLUDED = ("fuzz", "test", "main", "init", "deprecated", "assert", "log", "print")
-BANNED_PATHS = ("fuzztest", "/test/", "/tests/", "benchmark", "/build/", "thirdparty", "third_party", "contrib", "example", "/usr/", "honggfuzz", "googletest", "node_modules", "/.git/")
+PUBLIC_EXCLUDED = ("fuzzertestoneinput", "fuzzerinitialize", "fuzzerteardown", "exception", "error", "test", "llvmfuzertestoneinput", "fuzz_target")
+BANNED_PATHS = ("/src/fuzztest/", "/src/libfuzzer/", "/src/aflplusplus/", "/LPM/", "/googletest/", "/third_party/", "/thirdparty/", "fuzz", "/depends/", "/external/", "/build/", "/src/inspector/", "/source-code/", "/workspace/")
 
 
 def blocked_callee(name: Column) -> Column:
@@ -48,7 +48,7 @@ def public_candidate(name: Column, arg_count: Column) -> Column:
 
 
 def allowed_path(path: Column) -> Column:
-    return ~F.lower(path).rlike("|".join(w.replace(".", r"\.") for w in BANNED_PATHS))
+    return ~path.rlike("|".join(BANNED_PATHS))
 
 
 def strip_generics(name: Column) -> Column:

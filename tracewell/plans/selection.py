@@ -143,10 +143,10 @@ def f20_search(t):
     return last_functions(t).filter((F.trim("return_type") == "int") & F.lower("function_name").contains("table")).select("project_name", "function_name", "return_type")
 
 
-_BAN = "|".join(P.BANNED_PATHS).replace(".", r"\.")
+_BAN = "|".join(P.BANNED_PATHS)
 
 
-@query("", f"select distinct function_source_file from all_functions_db where not regexp_matches(lower(function_source_file), '{_BAN}')")
+@query("", f"select distinct function_source_file from all_functions_db where not regexp_matches(function_source_file, '{_BAN}')")
 def f21_allowed_paths(t):
     """Source files outside ignored folders."""
     return t.raw("all_functions_db").filter(P.allowed_path(F.col("function_source_file"))).select("function_source_file").distinct()
