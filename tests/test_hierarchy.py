@@ -113,3 +113,51 @@ def test_long_chain(spark):
     n = 3000
     got = run(spark, [("p", f"{i:05d}", 0) for i in range(n)], [("p", f"{i:05d}", f"{i + 1:05d}", 0) for i in range(n - 1)], paths=False)
     assert got[("p", f"{n - 1:05d}")]["depth"] == n - 1 and got[("p", "00000")]["descendants"] == n - 1
+
+
+def reach_of(nodes, links):
+    adj = {}
+    for ns, a, b, *_ in links:
+        adj.setdefault((ns, a), set()).add((ns, b))
+    out = {}
+    for n in nodes:
+        seen, stack = set(), [n]
+        while stack:
+            x = stack.pop()
+            for y in adj.get(x, ()):
+                if y not in seen:
+                    seen.add(y)
+                    stack.append(y)
+        out[n] = seen - {n}
+    return out
+
+
+@pytest.mark.parametrize("limits", [{}, {"task_links": 5, "task_nodes": 3}])
+def test_function_below_a_cycle_is_no_root(spark, limits):
+    names = "x y z a b c"
+    links = [("p", *e.split(">"), 0) for e in "x>y y>z z>x y>b b>a a>c".split()]
+    got = run(spark, [("p", n, 0) for n in names.split()], links, **limits)
+    assert {r["root"] for r in got.values()} == {"x"}
+    assert got[("p", "c")]["path"] == ["x", "y", "b", "a", "c"] and got[("p", "x")]["descendants"] == 5
+    reach = reach_of(set(got), links)
+    for node, at in (("a", 1), ("b", 2), ("x", 5)):
+        assert got[("p", node)]["descendants"] == len(reach[("p", node)]) == at
+
+
+@pytest.mark.parametrize("limits", [{}, {"task_nodes": 3}])
+def test_roots_against_reachability(spark, limits):
+    rnd = random.Random(15)
+    nodes = [(f"g{g}", f"n{i}", 0) for g in range(12) for i in range(9)]
+    links = [(f"g{g}", f"n{rnd.randrange(9)}", f"n{rnd.randrange(9)}", 0) for g in range(12) for _ in range(5 + g)]
+    got = run(spark, nodes, links, **limits)
+    reach = reach_of(set(got), links)
+    above = {n: {a for a in got if n in reach[a]} for n in got}
+    want = {n for n in got if all(a in reach[n] and n[1] <= a[1] for a in above[n])}  # the first name of what has no caller outside
+    assert {n for n, r in got.items() if r["depth"] == 0} == want
+    for n, r in got.items():
+        assert r["path"][0] == r["root"] and (n[0], r["root"]) in want
+        assert all((n[0], b) in reach[(n[0], a)] for a, b in zip(r["path"], r["path"][1:]))
+    for root in want:  # all that only this root reaches
+        only = {n for n in reach[root] if not any(n in reach[o] for o in want - {root})}
+        below = {n for n, r in got.items() if n[0] == root[0] and r["root"] == root[1]} - {root}
+        assert only <= below <= reach[root] and got[root]["descendants"] == len(below)

@@ -107,11 +107,51 @@ def _merge(stars: DataFrame) -> DataFrame:
         label = after.select("v", "component")
 
 
+def cycle_starts(names: list[str], children: dict[int, list[int]], rest: list[int]) -> list[int]:
+    """The first name of each strongly connected part of ``rest`` without callers outside it, in name order. All callers of
+    ``rest`` are in it. Walked in the reverse order of leaving, a node that nothing before it reaches lies in such a part,
+    and what leads to it is the part."""
+    inside, callers, seen, left = set(rest), {}, set(), []
+    for u in rest:
+        for v in children.get(u, ()):
+            if v in inside:
+                callers.setdefault(v, []).append(u)
+    for start in rest:
+        stack = [] if start in seen else [(start, iter(children.get(start, ())))]
+        seen.add(start)
+        while stack:
+            u, kids = stack[-1]
+            for v in kids:
+                if v in inside and v not in seen:
+                    seen.add(v)
+                    stack.append((v, iter(children.get(v, ()))))
+                    break
+            else:
+                left.append(stack.pop()[0])
+
+    def spread(start: int, links: dict[int, list[int]], met: set[int]) -> list[int]:
+        met.add(start)
+        found = [start]
+        for u in found:
+            for v in links.get(u, ()):
+                if v in inside and v not in met:
+                    met.add(v)
+                    found.append(v)
+        return found
+
+    reached, starts = set(), []
+    for u in reversed(left):
+        if u not in reached:
+            starts.append(min(spread(u, callers, set()), key=names.__getitem__))
+            spread(u, children, reached)
+    return sorted(starts, key=names.__getitem__)
+
+
 def walk_component(names: list[str], children: dict[int, list[int]], callers: list[int]) -> tuple[list[int], list[int], list[int], list[int], list[int], list[int], list[bool], list[list[int]]]:
     """Depth-first walk of one component: parent, depth, root, order of entering, order of leaving, pre-order, on a cycle, back links.
 
-    Starts at nodes without callers in name order, then, where a whole cycle has no caller outside, at the first name not
-    yet seen. White nodes are unseen, grey ones on the stack, black ones done; a link to a grey node is a back link. A
+    Starts at nodes without callers in name order, then, where a whole cycle has no caller outside, at the first name on
+    it. White nodes are unseen, grey ones on the stack, black ones done; a link to a grey node is a back link. A
     node is on a cycle if its strongly connected part, kept by low links in the same walk, has two nodes or a link to itself.
     """
     n = len(names)
@@ -122,9 +162,13 @@ def walk_component(names: list[str], children: dict[int, list[int]], callers: li
     order, pool, pooled = [], [], bytearray(n)
     for kids in children.values():
         kids.sort(key=names.__getitem__)
-    for start in [i for i in by_name if not callers[i]] + by_name:
-        if colour[start]:
-            continue
+
+    def starts() -> Iterator[int]:
+        yield from (i for i in by_name if not callers[i])
+        if rest := [i for i in by_name if not colour[i]]:
+            yield from cycle_starts(names, children, rest)
+
+    for start in starts():
         root[start] = start
         stack = [(start, iter(children.get(start, ())))]
         colour[start], enter[start], low[start] = 1, len(order), len(order)
@@ -232,7 +276,7 @@ def hierarchy(nodes: DataFrame, links: DataFrame, paths: bool = True, task_links
 
     Names are compared exactly within their namespace. Null names are no nodes and no links; links to or from other names
     count for nothing; repeated rows count once. A node without links is a root of its own. A node with several parents
-    hangs below the one that the walk in name order meets first. A cycle without entry starts at its first name. Components
+    hangs below the one that the walk in name order meets first. A cycle without callers outside it starts at its first name. Components
     above ``task_nodes`` are walked level by level, a node with several parents on its highest level there hanging below
     the first name; their ``enter`` and ``leave`` are null and descendants follow from ``path``.
     """
@@ -257,9 +301,9 @@ def hierarchy(nodes: DataFrame, links: DataFrame, paths: bool = True, task_links
 
 
 def _cyclic(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """Nodes on cycles, over the whole cluster: nodes without a way in or out are trimmed away; then the greatest hash
+    """Nodes on cycles and their ``part`` (null for a link to itself), over the whole cluster: nodes without a way in or out are trimmed away; then the greatest hash
     that reaches a node is its colour, and what of a colour leads back to its origin is one strongly connected part."""
-    loops = links.filter("src = dst").select("ns", F.col("src").alias("node"))
+    loops = links.filter("src = dst").select("ns", F.col("src").alias("node"), F.lit(None).cast("string").alias("part"))
     live = links.filter("src <> dst").select("ns", "src", "dst")
     found = loops
     while True:
@@ -290,7 +334,7 @@ def _cyclic(nodes: DataFrame, links: DataFrame) -> DataFrame:
                 break
             part = cut(part.unionByName(more))
         sizes = part.groupBy("ns", "c").count().filter("count > 1").select("ns", "c")
-        found = cut(found.unionByName(part.join(sizes, ["ns", "c"], "left_semi").select("ns", "node")))
+        found = cut(found.unionByName(part.join(sizes, ["ns", "c"], "left_semi").select("ns", "node", F.col("c.o").alias("part"))))
         gone = part.select("ns", "node")
         live = cut(live.join(gone.withColumnRenamed("node", "src"), ["ns", "src"], "left_anti").join(gone.withColumnRenamed("node", "dst"), ["ns", "dst"], "left_anti"))
 
@@ -298,24 +342,25 @@ def _cyclic(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def _walk_large(nodes: DataFrame, links: DataFrame, paths: bool) -> DataFrame:
     """Levels of the components that no single task may hold."""
     proper = links.filter("src <> dst")
-    cyclic = cut(_cyclic(nodes, links))
+    parts = cut(_cyclic(nodes, links))
+    cyclic = parts.select("ns", "node").distinct()
+    parts = parts.dropna()
     line = lambda c: F.array(F.col(c)) if paths else F.lit(None).cast("array<string>")
     fresh = nodes.join(proper.select("ns", F.col("dst").alias("node")).distinct(), ["ns", "node"], "left_anti")
     start = lambda d: d.select("ns", "node", "component", F.col("node").alias("root"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), line("node").alias("path"))
-    level = seen = cut(start(fresh))
-    while True:
+    within = proper.join(parts.withColumnRenamed("node", "dst"), ["ns", "dst"]).join(parts.select("ns", F.col("node").alias("src"), F.col("part").alias("caller_part")), ["ns", "src"], "left")
+    entered = within.filter("not part <=> caller_part").select("ns", "part").distinct()
+    first = parts.join(entered, ["ns", "part"], "left_anti").groupBy("ns", "part").agg(F.min("node").alias("node"))
+    seen = None
+    for begin in (fresh, nodes.join(first, ["ns", "node"], "left_semi")):  # all nodes lie below these
+        level = cut(start(begin))
+        seen = level if seen is None else cut(seen.unionByName(level))
         while not level.isEmpty():
             reach = proper.select("ns", "src", "dst").join(level.withColumnRenamed("node", "src"), ["ns", "src"])
             best = reach.groupBy("ns", F.col("dst").alias("node")).agg(F.min(F.struct("src", "component", "root", "depth", "path")).alias("m"))
             grown = best.select("ns", "node", "m.component", "m.root", F.col("m.src").alias("parent"), (F.col("m.depth") + 1).alias("depth"), (F.concat("m.path", F.array("node")) if paths else F.lit(None).cast("array<string>")).alias("path"))
             level = cut(grown.join(seen.select("ns", "node"), ["ns", "node"], "left_anti"))
             seen = cut(seen.unionByName(level).coalesce(shuffle_parts(nodes.sparkSession)))
-        rest = nodes.join(seen.select("ns", "node"), ["ns", "node"], "left_anti")
-        first = cut(rest.groupBy("component").agg(F.min(F.struct("ns", "node")).alias("m")).select("m.ns", "m.node", "component"))
-        if first.isEmpty():
-            break
-        level = cut(start(first))
-        seen = cut(seen.unionByName(level))
     if paths:
         below = seen.select("ns", "component", F.explode(F.slice("path", 1, F.size("path") - 1)).alias("node")).groupBy("ns", "component", "node").agg(F.count(F.lit(1)).alias("descendants"))
         seen = seen.join(below, ["ns", "component", "node"], "left")
