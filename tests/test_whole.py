@@ -59,3 +59,16 @@ def test_all_harnesses_agree_with_sql(spark, many_harnesses, name):
     assert " where s_suppkey < 10)" in sql
     df = entry.queries()[name](spark, many_harnesses)
     assert compare.rows_of(df.columns, df.collect()) == by_sql(many_harnesses, sql.replace(" where s_suppkey < 10)", ")"))
+
+
+def keys_of(spark, sf):
+    return [r[0] for r in spark.read.parquet(f"{sf}/part.parquet").select("p_partkey").collect()]
+
+
+def test_struct_closure_of_every_struct(spark, sf):
+    keys = [k for k in keys_of(spark, sf) if k > 0]
+    edges = [(k, k // 2) for k in keys if k % 7] + [(k, k // 3) for k in keys if k % 5 == 0]
+    below = {a: set().union(*(brute_reach(edges, y) for x, y in edges if x == a)) for a, _ in edges}
+    df = entry.queries()["g18_struct_closure"](spark, sf)
+    assert {(r["addr"], r["types"], r["least"]) for r in df.collect()} == {(a, len(b), min(b)) for a, b in below.items()}
+    assert compare.rows_of(df.columns, df.collect()) == by_sql(sf, entry.oracle_sql()["g18_struct_closure"].replace(" where src % 11 = 0 union", " union"))

@@ -55,10 +55,7 @@ def g18_struct_closure(t):
     """All types that a struct is made of, by base and member links."""
     p = t.raw("part").select(F.col("p_partkey").alias("src")).filter("src > 0")
     edges = p.filter("src % 7 <> 0").select("src", F.floor(F.col("src") / 2).alias("dst")).unionByName(p.filter("src % 5 = 0").select("src", F.floor(F.col("src") / 3).alias("dst")))
-    start = p.filter("src % 11 = 0").select(F.col("src").alias("start"))
-    reach = graph.reach_from(edges, start).filter("start <> node")
-    loops = edges.filter("src = dst").select(F.col("src").alias("start"), F.col("dst").alias("node"))
-    return reach.unionByName(loops.join(start, "start", "left_semi")).groupBy(F.col("start").alias("addr")).agg(F.count(F.lit(1)).alias("types"), F.min("node").alias("least"))
+    return graph.closure(edges).groupBy(F.col("src").alias("addr")).agg(F.count(F.lit(1)).alias("types"), F.min("dst").alias("least"))
 
 
 @query("", """with recursive s as (select p_partkey c, p_partkey // 4 parent from part where p_partkey > 0), r(root, c) as (select parent, c from s where parent < 20 union select r.root, s.c from r join s on s.parent = r.c)
