@@ -72,3 +72,11 @@ def test_struct_closure_of_every_struct(spark, sf):
     df = entry.queries()["g18_struct_closure"](spark, sf)
     assert {(r["addr"], r["types"], r["least"]) for r in df.collect()} == {(a, len(b), min(b)) for a, b in below.items()}
     assert compare.rows_of(df.columns, df.collect()) == by_sql(sf, entry.oracle_sql()["g18_struct_closure"].replace(" where src % 11 = 0 union", " union"))
+
+
+def test_subclasses_below_every_class(spark, sf):
+    links = [(k // 4, k) for k in keys_of(spark, sf) if k > 0]
+    below = {a: {c for c in brute_reach(links, a) - {a} if c % 3} for a, _ in links}
+    df = entry.queries()["g22_concrete_subclasses"](spark, sf)
+    assert {(r["root"], r["concrete"], r["first_class"]) for r in df.collect()} == {(a, len(b), min(b)) for a, b in below.items() if b}
+    assert compare.rows_of(df.columns, df.collect()) == by_sql(sf, entry.oracle_sql()["g22_concrete_subclasses"].replace(" where parent < 20 union", " union"))
