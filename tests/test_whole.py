@@ -80,3 +80,17 @@ def test_subclasses_below_every_class(spark, sf):
     df = entry.queries()["g22_concrete_subclasses"](spark, sf)
     assert {(r["root"], r["concrete"], r["first_class"]) for r in df.collect()} == {(a, len(b), min(b)) for a, b in below.items() if b}
     assert compare.rows_of(df.columns, df.collect()) == by_sql(sf, entry.oracle_sql()["g22_concrete_subclasses"].replace(" where parent < 20 union", " union"))
+
+
+def test_overlapping_spans_of_all_functions(spark, sf, tmp_path):
+    for p in Path(sf).iterdir():
+        if p.name != "part.parquet":
+            (tmp_path / p.name).symlink_to(p)
+    one = spark.read.parquet(f"{sf}/part.parquet")
+    one.selectExpr(*[f"'{v}' as {c}" if (v := {"p_brand": "B", "p_type": "T"}.get(c)) else c for c in one.columns]).write.parquet(f"{tmp_path}/part.parquet")  # all in one file
+    rows = [(k, n * 10, n * 10 + k % 40) for k, n in one.select("p_partkey", "p_size").collect()]
+    want = {(a, b) for a, ab, ae in rows for b, bb, be in rows if a < b and ab <= be and bb <= ae}
+    df = entry.queries()["j8_overlapping_spans"](spark, str(tmp_path))
+    got = [(r["k"], r["other"]) for r in df.collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert compare.rows_of(df.columns, df.collect()) == by_sql(tmp_path, entry.oracle_sql()["j8_overlapping_spans"].replace(" and a.argc = 1 and b.argc = 2", ""))

@@ -270,8 +270,8 @@ def j7_line_to_function(t):
 @query("fn", "select a.k, b.k other from fn a join fn b on a.file = b.file and a.b <= b.e and b.b <= a.e and a.k < b.k and a.argc = 1 and b.argc = 2")
 def j8_overlapping_spans(t):
     """Functions of one file whose line spans overlap."""
-    left = t.fn.filter("argc = 1").select("k", "file", "b", "e")
-    right = t.fn.filter("argc = 2").select(F.col("k").alias("other"), "file", F.col("b").alias("ob"), F.col("e").alias("oe"))
+    left = t.fn.select("k", "file", "b", "e")
+    right = t.fn.select(F.col("k").alias("other"), "file", F.col("b").alias("ob"), F.col("e").alias("oe"))
     return overlapping(left, right, "file", ("b", "e"), ("ob", "oe")).filter("k < other").select("k", "other")
 
 
