@@ -94,3 +94,27 @@ def test_overlapping_spans_of_all_functions(spark, sf, tmp_path):
     got = [(r["k"], r["other"]) for r in df.collect()]
     assert set(got) == want and len(got) == len(want)
     assert compare.rows_of(df.columns, df.collect()) == by_sql(tmp_path, entry.oracle_sql()["j8_overlapping_spans"].replace(" and a.argc = 1 and b.argc = 2", ""))
+
+
+def test_call_tree_of_every_entry(spark, sf):
+    from tracewell.plans.domain import Tables
+
+    calls = {}
+    for r in Tables(spark, sf).cs.filter("site_dst is not null and src_func is not null").select("project_name", "src_func", "site_dst").distinct().collect():
+        calls.setdefault(r["project_name"], []).append((r["src_func"], r["site_dst"]))
+    got = {}
+    for r in entry.queries()["g13_calltree_text"](spark, sf).collect():
+        got.setdefault((r["project_name"], r["entry_function"]), set()).add(r["function_name"])
+    for ns, edges in calls.items():
+        reach = {f: brute_reach(edges, f) for f in {a for a, _ in edges}}
+        want = {f for f in reach if all(a in reach[f] and f <= a for a in reach if f in reach[a])}
+        assert {e for p, e in got if p == ns} == want
+        assert all(got[(ns, e)] == reach[e] for e in want)
+    assert len(got) > len(calls)
+
+
+def test_entries_of_cycles():
+    from tracewell.operators import graph as G
+
+    calls = {f: [(c, 1) for c in to] for f, to in {"m": "b", "x": "y", "y": "xa", "a": "b", "s": "s"}.items()}
+    assert G.call_tree_entries(calls) == ["m", "s", "x"]

@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import cut, shuffle_parts
+from .hierarchy import cycle_starts
+
+#: Rows that a task of ``per_project`` collects before it hands them on.
+HELD_ROWS = 100_000
 
 
 def closure(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -86,6 +90,23 @@ def call_tree_lines(entry: str, calls: dict[str, list[tuple[str, int]]]) -> list
     return out
 
 
+def call_tree_entries(calls: dict[str, list[tuple[str, int]]]) -> list[str]:
+    """Functions that every call tree can be found from: callers that no other function calls, in name order, then the
+    first name of each cycle that nothing outside calls."""
+    called = {c for f, found in calls.items() for c, _ in found if c != f}
+    entries = sorted(f for f in calls if f not in called)
+    seen, stack = set(entries), list(entries)
+    while stack:
+        for c, _ in calls.get(stack.pop(), ()):
+            if c not in seen:
+                seen.add(c)
+                stack.append(c)
+    rest = sorted(f for f in calls if f not in seen)
+    at = {f: i for i, f in enumerate(rest)}
+    children = {at[f]: [at[c] for c, _ in calls[f] if c in at] for f in rest}
+    return entries + [rest[i] for i in cycle_starts(rest, children, list(range(len(rest))))]
+
+
 def call_paths(target: str, callers: dict[str, list[str]]) -> list[list[str]]:
     """Paths from outermost callers down to ``target``; each function is used once over all paths."""
     used, out, stack = {target}, [], [[target]]
@@ -102,16 +123,22 @@ def call_paths(target: str, callers: dict[str, list[str]]) -> list[list[str]]:
 
 def per_project(fn, schema: str):
     """Grouped map in Arrow batches for order-dependent rules of a project's call graph: rows (ns, node, pos, callees)."""
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+    kinds = [{"string": pa.string(), "int": pa.int32(), "long": pa.int64()}[c.strip().split(" ")[1]] for c in schema.split(",")]
+
+    def pack(out: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*out, strict=True)) or [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target = None
+        out: list[tuple] = []
         for batch in batches:
-            out = []
             for ns, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                out += [(ns, *r) for r in fn(rows)]
-            names = [c.strip().split(" ")[0] for c in schema.split(",")]
-            kinds = [{"string": pa.string(), "int": pa.int32(), "long": pa.int64()}[c.strip().split(" ")[1]] for c in schema.split(",")]
-            target = target or list(zip(names, kinds, strict=True))
-            cols = list(zip(*out, strict=True)) or [()] * len(target)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, target, strict=True)], names)
+                for r in fn(rows):
+                    out.append((ns, *r))
+                    if len(out) >= HELD_ROWS:
+                        yield pack(out)
+                        out = []
+        yield pack(out)
 
     return run

@@ -142,19 +142,20 @@ def g12_function_uses(t):
 
 @query()
 def g13_calltree_text(t):
-    """Call tree of each project's first entry function, each function expanded once, in pre-order."""
+    """Call tree of every entry function of each project (and one of each cycle without entry), in pre-order, each function
+    expanded once a tree."""
     calls = t.cs.filter("site_dst is not null and src_func is not null")
     packed = calls.select("project_name", "src_func", "site_dst", F.coalesce("line", F.lit(0)).alias("line")).distinct().groupBy("project_name").agg(F.sort_array(F.collect_list(F.struct("src_func", "line", "site_dst"))).alias("rows"))
 
     def tree(rows):
-        calls, called = {}, {r["site_dst"] for r in rows if r["src_func"] != r["site_dst"]}
+        calls: dict[str, list[tuple[str, int]]] = {}
         for r in rows:
             calls.setdefault(r["src_func"], []).append((r["site_dst"], r["line"]))
-        entry = min((f for f in calls if f not in called), default=min(calls))
-        for i, (depth, name, line) in enumerate(graph.call_tree_lines(entry, calls)):
-            yield i, depth, name, line
+        for entry in graph.call_tree_entries(calls):
+            for i, (depth, name, line) in enumerate(graph.call_tree_lines(entry, calls)):
+                yield entry, i, depth, name, line
 
-    schema = "project_name string, idx int, depth int, function_name string, line long"
+    schema = "project_name string, entry_function string, idx int, depth int, function_name string, line long"
     return packed.mapInArrow(graph.per_project(tree, schema), schema)
 
 
