@@ -118,3 +118,26 @@ def test_entries_of_cycles():
 
     calls = {f: [(c, 1) for c in to] for f, to in {"m": "b", "x": "y", "y": "xa", "a": "b", "s": "s"}.items()}
     assert G.call_tree_entries(calls) == ["m", "s", "x"]
+
+
+def test_call_paths_to_every_called_function(spark, sf):
+    from tracewell.plans.domain import Tables
+
+    t = Tables(spark, sf)
+    known = {tuple(r) for r in t.ff.select("project_name", "function_name").collect()}
+    callers = {}
+    for ns, a, b in t.cs.select("project_name", "src_func", "site_dst").distinct().collect():
+        if (ns, b) in known and a is not None:
+            callers.setdefault((ns, b), set()).add(a)
+
+    def has_path(ns, target):  # an outermost caller is above it
+        edges = [(b, a) for (p, b), found in callers.items() if p == ns for a in found]
+        return any((ns, f) not in callers for f in brute_reach(edges, target))
+
+    rows = entry.queries()["g7_call_paths"](spark, sf).collect()
+    assert {(r["project_name"], r["function_name"]) for r in rows} == {k for k in callers if has_path(*k)}
+    assert any((r["project_name"], r["function_name"]) in {(ns, a) for (ns, _), found in callers.items() for a in found} for r in rows)
+    for r in rows:
+        path = r["call_path"].split(" > ")
+        assert path[-1] == r["function_name"] and (r["project_name"], path[0]) not in callers
+        assert all(a in callers[(r["project_name"], b)] for a, b in zip(path, path[1:]))

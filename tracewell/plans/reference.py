@@ -99,7 +99,7 @@ def g6_parent_function(t):
 
 @query()
 def g7_call_paths(t):
-    """Call paths from outermost callers to each function without callees, each function used once per target."""
+    """Call paths from outermost callers to each called function, each function used once per target."""
     calls = t.cs.join(t.ff.select("project_name", F.col("function_name").alias("site_dst")), ["project_name", "site_dst"], "left_semi")
     packed = calls.select("project_name", "src_func", "site_dst").distinct().groupBy("project_name").agg(F.sort_array(F.collect_list(F.struct("site_dst", "src_func"))).alias("rows"))
 
@@ -107,8 +107,7 @@ def g7_call_paths(t):
         callers: dict[str, list[str]] = {}
         for r in rows:
             callers.setdefault(r["site_dst"], []).append(r["src_func"])
-        calling = {r["src_func"] for r in rows}
-        for target in sorted(set(callers) - calling):
+        for target in sorted(callers):
             yield from ((target, i, " > ".join(p)) for i, p in enumerate(graph.call_paths(target, callers)))
 
     schema = "project_name string, function_name string, path_no int, call_path string"
