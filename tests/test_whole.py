@@ -141,3 +141,22 @@ def test_call_paths_to_every_called_function(spark, sf):
         path = r["call_path"].split(" > ")
         assert path[-1] == r["function_name"] and (r["project_name"], path[0]) not in callers
         assert all(a in callers[(r["project_name"], b)] for a, b in zip(path, path[1:]))
+
+
+def test_whole_paths_to_sinks(spark):
+    from tracewell.plans import composed
+
+    edges = "m>a a>b b>xp_open n>c c>xp_open k>d d>e e>f f>xp_open m>xp_log".split()
+
+    class Few:
+        cs = spark.createDataFrame([("p", *e.split(">")) for e in edges], "project_name string, src_func string, site_dst string")
+
+        def raw(self, name):
+            return spark.createDataFrame([("p", f, 1.0 if f in "mankd" else 0.0) for f in "mabnckdef"], "project_name string, function_name string, line_cov double")
+
+    two = [(r["path_no"], r["functions"], r["call_path"]) for r in composed.t6_shortest_paths(Few()).filter("sink = 'xp_open'").orderBy("path_no").collect()]
+    assert two == [(1, 3, "n > c > xp_open"), (2, 4, "m > a > b > xp_open")]
+    ends = {r["last_caller"]: (r["paths"], r["first_path"]) for r in composed.a20_call_paths_by_end(Few()).filter("sink = 'xp_open'").collect()}
+    assert ends == {"b": (1, "m > a > b"), "c": (1, "n > c"), "f": (1, "k > d > e > f")}
+    got = {(r["sink"], r["call_path"]): (r["callers_hit"], r["blocker"]) for r in composed.j14_sink_blockers(Few()).collect()}
+    assert got == {("xp_open", "m > a > b"): (0, "a"), ("xp_open", "n > c"): (0, "n"), ("xp_open", "k > d > e > f"): (0, "d"), ("xp_log", "m"): (1, None)}

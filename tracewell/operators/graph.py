@@ -124,7 +124,7 @@ def call_paths(target: str, callers: dict[str, list[str]]) -> list[list[str]]:
 def per_project(fn, schema: str):
     """Grouped map in Arrow batches for order-dependent rules of a project's call graph: rows (ns, node, pos, callees)."""
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
-    kinds = [{"string": pa.string(), "int": pa.int32(), "long": pa.int64()}[c.strip().split(" ")[1]] for c in schema.split(",")]
+    kinds = [{"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "array<string>": pa.list_(pa.string())}[c.strip().split(" ")[1]] for c in schema.split(",")]
 
     def pack(out: list[tuple]) -> pa.RecordBatch:
         cols = list(zip(*out, strict=True)) or [()] * len(names)

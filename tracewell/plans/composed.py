@@ -132,6 +132,41 @@ def t6_two_paths(t):
     return rows.withColumn("path_no", F.row_number().over(w)).filter("path_no <= 2")
 
 
+def _sink_paths(t):
+    """Call paths to every function that a call site names, whether the project defines it or not."""
+    return base.path_lists(t.cs.filter("site_dst is not null and src_func is not null")).withColumnRenamed("function_name", "sink")
+
+
+@query()
+def t6_shortest_paths(t):
+    """At most two call paths to each function, the shortest first (T6 over whole paths)."""
+    w = Window.partitionBy("project_name", "sink").orderBy(F.size("path"), "path")
+    rows = _sink_paths(t).withColumn("path_no", F.row_number().over(w)).filter("path_no <= 2")
+    return rows.select("project_name", "sink", "path_no", F.size("path").alias("functions"), F.array_join("path", " > ").alias("call_path"))
+
+
+@query()
+def a20_call_paths_by_end(t):
+    """Call paths to each function grouped by their last element, its direct caller (A20 over whole paths)."""
+    rows = _sink_paths(t).withColumn("path", F.slice("path", 1, F.size("path") - 1))
+    return rows.groupBy("project_name", "sink", F.element_at("path", -1).alias("last_caller")).agg(F.count(F.lit(1)).alias("paths"), F.array_join(F.min("path"), " > ").alias("first_path"))
+
+
+@query()
+def j14_sink_blockers(t):
+    """Call paths to sinks with the number of direct callers that ran, and, if none did, the blocker of the path: the
+    function before the first one that never ran (J14 over whole paths; callers by function, as call sites have no hits)."""
+    ran = t.raw("all_functions_db").filter("line_cov > 0").select("project_name", F.col("function_name").alias("f")).distinct().withColumn("ran", F.lit(True))
+    sinks = F.col("sink").isin("xp_alloc", "xp_open", "xp_log")
+    calls = t.cs.select("project_name", F.col("site_dst").alias("sink"), F.col("src_func").alias("f")).filter(sinks).distinct()
+    hit = calls.join(ran, ["project_name", "f"], "left").groupBy("project_name", "sink").agg(F.count("ran").alias("callers_hit"))
+    paths = _sink_paths(t).filter(sinks).withColumn("path", F.slice("path", 1, F.size("path") - 1))
+    steps = paths.select("project_name", "sink", "path_no", "path", F.posexplode("path").alias("at", "f")).join(ran, ["project_name", "f"], "left")
+    stop = steps.groupBy("project_name", "sink", "path_no", "path").agg(F.min(F.when(F.col("ran").isNull() & (F.col("at") > 0), F.col("at"))).alias("stop"))
+    before = F.element_at("path", F.coalesce(F.col("stop"), F.size("path")))
+    return stop.join(hit, ["project_name", "sink"]).select("project_name", "sink", "path_no", "callers_hit", F.when(F.col("callers_hit") == 0, before).alias("blocker"), F.array_join("path", " > ").alias("call_path"))
+
+
 @query("ed hs hr cl", """, r as (select h, count(*) n from hr group by 1), c as (select h, count(distinct k) n from cl where hits > 0 group by 1), x as (select r.h, 100.0::double * coalesce(c.n, 0) / r.n share from r left join c using (h))
 select h, case when share < 30 then 1 when share < 100 then 5 else 10 end severity, row_number() over (order by case when share < 30 then 1 when share < 100 then 5 else 10 end, h) place from x""")
 def t7_conclusions(t):

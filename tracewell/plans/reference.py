@@ -51,6 +51,21 @@ def hit_counts(t: Tables) -> DataFrame:
     return harness_reach(t).groupBy("k").agg(F.count(F.lit(1)).alias("hc"))
 
 
+def path_lists(calls: DataFrame) -> DataFrame:
+    """(project_name, function_name, path_no, path): call paths from outermost callers to each called function."""
+    packed = calls.select("project_name", "src_func", "site_dst").distinct().groupBy("project_name").agg(F.sort_array(F.collect_list(F.struct("site_dst", "src_func"))).alias("rows"))
+
+    def paths(rows):
+        callers: dict[str, list[str]] = {}
+        for r in rows:
+            callers.setdefault(r["site_dst"], []).append(r["src_func"])
+        for target in sorted(callers):
+            yield from ((target, i, p) for i, p in enumerate(graph.call_paths(target, callers)))
+
+    schema = "project_name string, function_name string, path_no int, path array<string>"
+    return packed.mapInArrow(graph.per_project(paths, schema), schema)
+
+
 # Graph ----------------------------------------------------------------------------------------------------------------
 @query("ed re", "select src, dst from re")
 def g1_closure(t):
@@ -101,17 +116,7 @@ def g6_parent_function(t):
 def g7_call_paths(t):
     """Call paths from outermost callers to each called function, each function used once per target."""
     calls = t.cs.join(t.ff.select("project_name", F.col("function_name").alias("site_dst")), ["project_name", "site_dst"], "left_semi")
-    packed = calls.select("project_name", "src_func", "site_dst").distinct().groupBy("project_name").agg(F.sort_array(F.collect_list(F.struct("site_dst", "src_func"))).alias("rows"))
-
-    def paths(rows):
-        callers: dict[str, list[str]] = {}
-        for r in rows:
-            callers.setdefault(r["site_dst"], []).append(r["src_func"])
-        for target in sorted(callers):
-            yield from ((target, i, " > ".join(p)) for i, p in enumerate(graph.call_paths(target, callers)))
-
-    schema = "project_name string, function_name string, path_no int, call_path string"
-    return packed.mapInArrow(graph.per_project(paths, schema), schema)
+    return path_lists(calls).select("project_name", "function_name", "path_no", F.array_join("path", " > ").alias("call_path"))
 
 
 @query("ed re", "select ed.dst k, count(*) parents, min(ed.src) first_parent from ed where exists (select 1 from re where re.src = ed.src and re.dst = ed.dst) group by 1")
