@@ -67,9 +67,80 @@ def test_limits_give_the_same_paths(spark):
     plain = run(spark, nodes, links)
     large = run(spark, nodes, links, task_links=4, task_nodes=2)
     for k, r in plain.items():
-        for c in ("root", "parent", "depth", "path", "descendants", "on_cycle"):
+        for c in SAME:
             assert r[c] == large[k][c], (k, c)
-        assert sorted(r["back_to"]) == sorted(large[k]["back_to"])
+
+
+SAME = ("root", "parent", "depth", "path", "descendants", "enter", "leave", "on_cycle", "cycle", "back_to")
+
+
+@pytest.fixture
+def few_tasks(spark):
+    """Many rounds on tiny tables: one partition, no re-planning."""
+    old = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    for c, v in old.items():
+        spark.conf.set(c, v)
+
+
+def tangled(seed):
+    """Several parents, cycles within cycles, a ring, a chain with links back, loops."""
+    rnd = random.Random(seed)
+    nodes, links = [], []
+    for g in range(8):
+        n = rnd.choice((4, 7, 10))
+        nodes += [(f"g{g}", f"n{i:02d}", 0) for i in range(n)]
+        links += [(f"g{g}", f"n{rnd.randrange(n):02d}", f"n{rnd.randrange(n):02d}", 0) for _ in range(rnd.choice((n // 2, n, 2 * n)))]
+    ring = [f"r{i}" for i in range(4)]
+    nodes += [("ring", x, 0) for x in ring] + [("tail", f"t{i}", 0) for i in range(8)]
+    links += [("ring", a, b, 0) for a, b in zip(ring, ring[1:] + ring[:1])]
+    links += [("tail", f"t{i}", f"t{i + 1}", 0) for i in range(7)] + [("tail", "t4", "t2", 0), ("tail", "t6", "t6", 0), ("tail", "t1", "t5", 0)]
+    rnd.shuffle(links)
+    return nodes, links
+
+
+@pytest.mark.parametrize("limits", [{"task_nodes": 1, "task_links": 40}, {"task_nodes": 40, "task_edges": 8, "paths": False}])
+def test_random_graphs_give_the_same_rows_whatever_a_task_holds(spark, few_tasks, limits):
+    nodes, links = tangled(1)
+    plain, large = run(spark, nodes, links), run(spark, nodes, links, **limits)
+    assert {k for k, r in plain.items() if r["on_cycle"]} == brute_cycles(set(plain), [x[:3] for x in links])
+    assert set(large) == set(plain)
+    for k, r in plain.items():
+        for c in SAME:
+            want = None if c == "path" and not limits.get("paths", True) else r[c]
+            assert want == large[k][c], (limits, k, c, want, large[k][c])
+
+
+def test_parent_rule_against_brute_force(spark):
+    rnd = random.Random(8)
+    nodes = [("p", f"n{i:02d}", 0) for i in range(40)]
+    links = [("p", f"n{rnd.randrange(40):02d}", f"n{rnd.randrange(40):02d}", 0) for _ in range(55)]
+    got = run(spark, nodes, links)
+    reach = reach_of(set(got), links)
+    part = {n: min([m[1] for m in reach[n] if n in reach[m]] + [n[1]]) for n in got}
+    pairs = sorted({(a, b) for _, a, b, _ in links if a != b})
+    inside = {}
+    for n in got:
+        inside.setdefault(part[n], set()).add(n[1])
+    want = {}
+    for p, members in inside.items():
+        doors = [(a, b) for a, b in pairs if b in members and a not in members]
+        entry, want_parent = (doors[0][1], doors[0][0]) if doors else (min(members), None)
+        want[entry], level, seen = want_parent, [entry], {entry}
+        while level:
+            below = {}
+            for a, b in pairs:
+                if a in level and b in members and b not in seen:
+                    below.setdefault(b, a)
+            want.update(below)
+            seen |= set(below)
+            level = sorted(below)
+    assert {n[1]: r["parent"] for n, r in got.items()} == want
+    assert all((r["cycle"] or n[1]) == part[n] for n, r in got.items())
+    order = sorted(got.values(), key=lambda r: (r["component"], r["enter"]))
+    assert [r["path"] for r in order] == sorted((r["path"] for r in order), key=lambda p: (got[("p", p[0])]["component"], p))
 
 
 def test_random_graphs_find_all_cycles(spark):

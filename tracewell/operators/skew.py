@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import shuffle_parts
+from ..runtime import cut, shuffle_parts
 
 TIE, PART = "__tie", "__part"
 
@@ -74,7 +74,7 @@ def split_key_running(df: DataFrame, keys: list[str], order: list[str], value: s
     Each piece of a key is numbered on its own; the totals of a key's earlier pieces, at most one open key per partition,
     are then added. Null values add nothing.
     """
-    pieces = range_split(df, keys, order, parts)
+    pieces = cut(range_split(df, keys, order, parts))  # both uses below see the same pieces
     own = Window.partitionBy(*keys, PART).orderBy(*order, TIE).rowsBetween(Window.unboundedPreceding, 0)
     rows = pieces.withColumn(out_rank, F.count(F.lit(1)).over(own)).withColumn(out_total, F.coalesce(F.sum(value).over(own), F.lit(0)))
     earlier = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)

@@ -30,7 +30,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably in the shared folder and forget how it was made."""
+    """Materialise ``df`` reliably in the shared folder and forget how it was made.
+
+    A checkpoint keeps what is known of its rows (partitioning, constraints); in loops the constraints multiply with each
+    round, so loops take ``stored`` tables.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
