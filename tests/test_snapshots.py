@@ -73,11 +73,13 @@ def test_intervals(spark):
     assert got == [("x", "1", "2", "3"), ("x", "4", "4", "5"), ("x", "5", "5", None), ("y", "3", "3", "4")]
 
 
-def test_shuffled_calendar_gives_the_same(spark, monkeypatch):
-    monkeypatch.setattr(S, "sized_broadcast", lambda df, width: df)
+def test_gaps_and_dates_of_any_type(spark):
     rnd = random.Random(8)
-    rows = [(rnd.choice("ab"), str(rnd.randrange(5)), rnd.choice("xyz"), "f", rnd.randrange(2), 0, datetime(2025, 1, 1, 0, 0, i)) for i in range(60)]
+    rows = [(rnd.choice("ab"), f"2025-01-{1 + rnd.randrange(9):02d}", rnd.choice("xyz"), "f", rnd.randrange(2), 0, datetime(2025, 1, 1, 0, 0, i)) for i in range(60)]
     assert changes(rows_of(spark, rows)) == brute(rows)
+    typed = rows_of(spark, rows).withColumn("d", F.to_date("d"))
+    got = S.snapshot_changes(typed, "p", "d", ["k", "f"], ["v"], "t").select("p", F.col("d").cast("string"), "k", "f", "change_kind")
+    assert {tuple(r) for r in got.collect()} == brute(rows)
 
 
 def test_paths(spark):

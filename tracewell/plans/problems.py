@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import resolve_path
 from ..operators import drift, rolling, skew, snapshots
 from ..operators import hierarchy as tree
+from ..runtime import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,19 +40,24 @@ def p1_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
 # 2 ------------------------------------------------------------------------------------------------------------------
 def _function_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "all_functions_db").select("project_name", "snap_date", "function_name", "function_source_file", "cyclomatic_complexity", "load_ts")
-    return rows.withColumn("function_source_file", resolve_path(F.col("function_source_file")))
+    # A date takes fewer bytes than its text in each shuffle.
+    return rows.withColumn("function_source_file", resolve_path(F.col("function_source_file"))).withColumn("snap_date", F.try_to_date("snap_date", "yyyy-MM-dd"))
+
+
+def _text(c: str):
+    return F.date_format(c, "yyyy-MM-dd").alias(c)
 
 
 _P2 = ("project_name", "snap_date", ["function_name", "function_source_file"], ["cyclomatic_complexity"], "load_ts")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return snapshots.snapshot_changes(_function_versions(spark, sf_dir), *_P2)
+    return snapshots.snapshot_changes(_function_versions(spark, sf_dir), *_P2).withColumn("snap_date", _text("snap_date"))
 
 
 def p2_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = snapshots.validity_intervals(_function_versions(spark, sf_dir), *_P2)
-    return runs.select("project_name", "function_name", "function_source_file", "valid_from", "valid_to", (F.col("last_seq") - F.col("first_seq") + 1).alias("snapshots"), F.col("next_date").isNull().alias("still_valid"))
+    return runs.select("project_name", "function_name", "function_source_file", _text("valid_from"), _text("valid_to"), (F.col("last_seq") - F.col("first_seq") + 1).alias("snapshots"), F.col("next_date").isNull().alias("still_valid"))
 
 
 # 3 ------------------------------------------------------------------------------------------------------------------
@@ -95,8 +101,8 @@ def p4_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
 # 5 ------------------------------------------------------------------------------------------------------------------
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "all_functions_db")
-    names = skew.split_key_aggregate(rows, ["function_name"], ["project_name", "snap_date"])
-    total = rows.agg(F.count(F.lit(1)).alias("total"))
+    names = stored(skew.split_key_aggregate(rows, ["function_name"], ["project_name", "snap_date"]))
+    total = names.agg(F.sum("n_rows").alias("total"))
     return names.crossJoin(F.broadcast(total)).filter("function_name is not null and n_rows * 50 >= total").select("function_name")  # one row
 
 

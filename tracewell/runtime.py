@@ -1,4 +1,4 @@
-"""Session settings, lineage cuts and size-checked broadcasts shared by all operators."""
+"""Session settings and lineage cuts shared by all operators."""
 
 from __future__ import annotations
 
@@ -10,9 +10,6 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A table is broadcast only when its counted rows times a generous row width stay under this many bytes.
-BROADCAST_BYTES = 32 << 20
-
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder for lineage cuts: the session's ``spark.checkpoint.dir``, one of our own only in local mode."""
@@ -50,14 +47,6 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def sized_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` with a broadcast hint if it is small, else as it is, so that Spark joins it by shuffle.
-
-    ``df`` has to be materialised (see ``cut``), as its rows are counted here.
-    """
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
-
-
 def same(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]):
     """Null-safe equality over column pairs of two frames."""
     cond = F.lit(True)
