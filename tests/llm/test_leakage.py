@@ -47,7 +47,7 @@ def sample(seed, n_docs=150):
     return docs + [(None, items[0][1]), (500, None), (501, ""), (502, " \n ")] + docs[:20], items
 
 
-@pytest.mark.parametrize("index_chars", [L.INDEX_CHARS, 0])
+@pytest.mark.parametrize("index_chars", [L.INDEX_CHARS, 1500])
 def test_found(spark, index_chars):
     docs, items = sample(3)
     hits = L.leaked_passages(*frames(spark, docs, items), index_chars=index_chars).collect()
@@ -99,6 +99,55 @@ def test_minima_of_equal_passages_are_equal():
         assert L.passage_minima(passage, 12, 5)[0] in L.passage_minima(a, 12, 5)
 
 
+@pytest.mark.parametrize("index_chars", [L.INDEX_CHARS, 40])
+def test_texts_of_one_item_are_counted_apart(spark, index_chars):
+    one, two = " ".join(f"a{i}" for i in range(14)), " ".join(f"b{i}" for i in range(17))
+    other = " ".join(f"c{i}" for i in range(12))
+    docs = [(1, f"x {one} y {two} z"), (2, two), (3, other)]
+    hits = L.leaked_passages(*frames(spark, docs, [(7, one), (7, two), (8, other)]), index_chars=index_chars).collect()
+    assert sorted(tuple(r) for r in hits) == [(7, 1, 17, 9, 9), (7, 2, 17, 6, 9), (8, 3, 12, 1, 1)]
+
+
+def shingles_of(text, n=5):
+    w = words_of(text)
+    return [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
+
+
+def test_contained_items_recall_and_exactness(spark):
+    """Whole items with a few words changed, somewhere in longer texts; recall against brute force over all windows."""
+    rnd = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    items = [(i, " ".join(rnd.choice(vocabulary) for _ in range(rnd.choice([6, 9, 20, 33, 70])))) for i in range(120)]
+    docs = []
+    for d in range(400):
+        body = [rnd.choice(vocabulary) for _ in range(rnd.randrange(300))]
+        w = rnd.choice(items)[1].split()
+        for _ in range(rnd.choice([0, 0, 1, 2])):
+            w[rnd.randrange(len(w))] = "changed"
+        at = rnd.randrange(len(body) + 1)
+        body[at:at] = w
+        docs.append((d, " ".join(body)))
+    hits = {(r["item_id"], r["doc_id"]): r for r in L.contained_items(*frames(spark, docs, items)).collect()}
+    want = {}
+    for i, t in items:
+        own = set(shingles_of(t))
+        part = L.size_part(len(own))
+        for d, text in docs:
+            s = shingles_of(text)
+            if len(own & set(s)) >= 0.8 * len(own):
+                width = min(part.window, len(s))
+                ends = sorted({*range(0, len(s) - width + 1, part.step), len(s) - width})
+                share = max(len(own & set(s[a : a + width])) for a in ends) / len(own)
+                if share >= 0.8:
+                    want[(i, d)] = share
+    assert set(hits) <= set(want) and len(want) > 150
+    assert len(set(hits) & set(want)) >= 0.95 * len(want)
+    assert all(abs(hits[k]["containment"] - want[k]) < 1e-9 for k in hits)
+    assert np.mean([abs(r["estimate"] - r["containment"]) for r in hits.values()]) < 0.25
+    for part in (L.size_part(n) for n in (1, 2, 8, 60)):
+        assert (1 - part.jaccard(0.8)) ** L.ITEM_HASHES < 0.002
+
+
 def test_sliding_min():
     x = np.array([5, 3, 8, 1, 9, 2, 7], np.uint64)
     for n in range(1, 9):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,20 +15,26 @@ from .tokens import count_tokens, default_vocabulary
 MOST_SOURCES = 10_000
 
 
+def poisson_window(rate: float) -> tuple[int, np.ndarray]:
+    """The least number and the probabilities of all numbers from it on that a draw of 53 bits can hit (nine deviations
+    either way), from ratios of neighbours around the mode, so that nothing under- or overflows at any rate."""
+    mode, reach = int(rate), int(9 * math.sqrt(rate)) + 40
+    up = np.cumprod(rate / np.arange(mode + 1, mode + reach + 1))
+    down = np.cumprod(np.arange(mode, max(mode - reach, 0), -1) / rate) if mode else np.empty(0)
+    p = np.concatenate([down[::-1], [1.0], up])
+    return mode - len(down), p / p.sum()
+
+
 def capped_mean(rate: float, cap: int) -> float:
     """Mean of min(N, cap) for a Poisson number N of the given rate."""
-    p, below, mean = math.exp(-rate), 0.0, 0.0
-    for k in range(cap):
-        mean += k * p
-        below += p
-        p *= rate / (k + 1)
-    return mean + cap * (1 - below)
+    low, p = poisson_window(rate)
+    return float(np.minimum(np.arange(low, low + len(p)), cap) @ p)
 
 
 def poisson_rate(mean: float, cap: int) -> float:
     """Rate whose capped mean is ``mean`` (0 < mean < cap), by bisection."""
-    low, high = 0.0, 1.0
-    while capped_mean(high, cap) < mean and high < 700:
+    low, high = 0.0, max(1.0, 2 * mean)
+    while capped_mean(high, cap) < mean:
         high *= 2
     for _ in range(80):
         mid = (low + high) / 2
@@ -35,24 +42,18 @@ def poisson_rate(mean: float, cap: int) -> float:
     return (low + high) / 2
 
 
-def inverse_table(mean: float, cap: int) -> list[float]:
-    """Cumulative probabilities of 0, 1, ... copies up to ``cap`` - 1; the number of entries at or below a uniform number
-    is a capped Poisson number with the given mean. A mean of ``cap`` or more always gives ``cap`` copies."""
+def inverse_table(mean: float, cap: int) -> tuple[int, list[float]]:
+    """(``base``, ``steps``): ``base`` and the number of steps at or below a uniform number are together a Poisson number
+    capped at ``cap`` whose mean is ``mean``. Steps are cumulative probabilities, about 18 roots of the rate of them.
+    A mean of ``cap`` or more always gives ``cap`` copies."""
     if cap <= 0 or mean <= 0:
-        return [1.0] * 1
+        return 0, []
     if mean >= cap:
-        return [0.0] * cap
-    rate = poisson_rate(mean, cap)
-    if rate >= 699:
-        return [0.0] * cap
-    p, total, out = math.exp(-rate), 0.0, []
-    for k in range(cap):
-        total += p
-        out.append(min(total, 1.0))
-        p *= rate / (k + 1)
-        if total > 1 - 2**-53:
-            break
-    return out
+        return cap, []
+    low, p = poisson_window(poisson_rate(mean, cap))
+    if low >= cap:
+        return cap, []
+    return low, np.minimum(np.cumsum(p), 1.0)[: cap - low].tolist()
 
 
 def source_key(c):
@@ -71,9 +72,9 @@ def mixture(documents: DataFrame, targets: DataFrame, seed: int = 11, vocabulary
 
     report, one row a target: ``source_name``, ``target_share``, ``max_repeats``, ``n_docs``, ``own_tokens``,
     ``wanted_tokens``, ``mean_repeats``, ``copies``, ``reached_tokens``, ``reached_share``, ``can_reach``.
-    plan: the same before drawing, with ``key`` and the inverted distribution ``steps``, for ``draw``.
+    plan: the same before drawing, with ``key`` and the inverted distribution (``base``, ``steps``), for ``draw``.
 
-    Null sources belong to no target; null and blank texts have no tokens; null ids share one draw; rows of one id get the
+    Null sources belong to no target; null and empty texts have no tokens, a blank text those of its blanks; null ids share one draw; rows of one id get the
     same number of copies. A target's null share or cap counts as 0; a null name is no target; of repeated targets the
     greatest share, then cap, holds. A target without documents is in the report, out of reach if it wants any.
     """
@@ -93,13 +94,13 @@ def mixture(documents: DataFrame, targets: DataFrame, seed: int = 11, vocabulary
         n, tokens = own.get(r["key"], (0, 0))
         need, cap = r["target_share"] * total, max(0, r["max_repeats"])
         mean = need / tokens if tokens else 0.0
-        plan.append((r["key"], r["source_name"], r["target_share"], cap, n, tokens, need, min(mean, float(cap)), need <= cap * tokens, inverse_table(mean, cap)))
-    plan_rows = wanted.sparkSession.createDataFrame(plan, "key string, source_name string, target_share double, max_repeats int, n_docs long, own_tokens long, wanted_tokens double, mean_repeats double, can_reach boolean, steps array<double>")
+        plan.append((r["key"], r["source_name"], r["target_share"], cap, n, tokens, need, min(mean, float(cap)), need <= cap * tokens, *inverse_table(mean, cap)))
+    plan_rows = wanted.sparkSession.createDataFrame(plan, "key string, source_name string, target_share double, max_repeats int, n_docs long, own_tokens long, wanted_tokens double, mean_repeats double, can_reach boolean, base int, steps array<double>")
     copies = draw(sized, plan_rows, seed)
     took = copies.groupBy("key").agg(F.sum("n_copies").alias("copies"), F.sum(F.col("n_copies") * F.col("n_tokens")).alias("reached_tokens"))
     took = cut(took)  # one row a source
     every = took.agg(F.sum("reached_tokens").alias("every"))
-    report = plan_rows.drop("steps").join(F.broadcast(took), "key", "left").crossJoin(F.broadcast(every))  # one row
+    report = plan_rows.drop("base", "steps").join(F.broadcast(took), "key", "left").crossJoin(F.broadcast(every))  # one row
     report = report.select("source_name", "target_share", "max_repeats", "n_docs", "own_tokens", "wanted_tokens", "mean_repeats", F.coalesce("copies", F.lit(0)).alias("copies"), F.coalesce("reached_tokens", F.lit(0)).alias("reached_tokens"), F.coalesce(F.try_divide(F.col("reached_tokens").cast("double"), F.col("every")), F.lit(0.0)).alias("reached_share"), "can_reach")
     return report, plan_rows
 
@@ -107,8 +108,8 @@ def mixture(documents: DataFrame, targets: DataFrame, seed: int = 11, vocabulary
 def draw(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     """``rows`` (``doc_id``, ``key``, ...) of planned sources with ``source_name`` and ``n_copies``."""
     uniform = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 11).cast("double") / F.lit(float(1 << 53))
-    planned = rows.join(F.broadcast(plan.select("key", "source_name", "steps")), "key").withColumn("u", uniform)  # at most MOST_SOURCES rows
-    return planned.withColumn("n_copies", F.size(F.filter("steps", lambda x: x <= F.col("u")))).drop("u", "steps")
+    planned = rows.join(F.broadcast(plan.select("key", "source_name", "base", "steps")), "key").withColumn("u", uniform)  # at most MOST_SOURCES rows
+    return planned.withColumn("n_copies", F.col("base") + F.size(F.filter("steps", lambda x: x <= F.col("u")))).drop("u", "base", "steps")
 
 
 def shuffled_copies(documents: DataFrame, targets: DataFrame, seed: int = 11, **options) -> DataFrame:

@@ -26,17 +26,26 @@ _OTHER = re.compile(
         | // | /\* | \*/ | --\s | [{}]                 # comments, braces
         | </?[A-Za-z][^>]*>\s*$                        # markup
       )
-      | .*[;{}]\s*$ | .*\S\ *\|\ *\S.*\|               # statements, table rows
-      | .*\b\w+=\S+\s+\w+=\S+                          # key=value logs
+      | .*[{}]\s*$ | .*\S\ *\|\ *\S.*\|               # blocks, table rows
     """,
     re.X,
 )
+#: Statements and logs of key=value, unless the words around them make a sentence of the line (see ``_wordy``).
+_MAYBE = re.compile(r".*;\s*$|.*\b\w+=\S+\s+\w+=\S+")
+_PLAIN = re.compile(r"[(\"'\u201c\u2018\u00ab]*[^\W\d_]+(?:['\u2019-][^\W\d_]+)*[.,:;!?)\"'\u201d\u2019\u00bb]*$")
 _QUOTE = re.compile(r"\s{0,3}(?:>+\s?)+")
 #: A point after such an ending, or before a small letter, ends no sentence.
 _STOP = re.compile(r"([.!?\u2026]+)[\"'\u201d\u2019\u00bb)\]*_]*(?:\s+|$)")
 _NOT_ALNUM = re.compile(r"[\W_]+")
 
 
+def _wordy(line: str) -> bool:
+    """Five or more plain words that are two thirds of the line or more."""
+    words = line.split()
+    plain = sum(1 for w in words if _PLAIN.match(w))
+    return plain >= 5 and 3 * plain >= 2 * len(words)
+
+
 def prose_paragraphs(text: str | None) -> list[str]:
     """Paragraphs of running text: what is outside code, logs, traces, tables, headings and lists.
 
@@ -69,7 +78,7 @@ def prose_paragraphs(text: str | None) -> list[str]:
             other, closing = m, f"</{m.group(1).lower()}>"
             if closing in line.lower():
                 closing = None
-        elif _OTHER.match(line) is not None:
+        elif _OTHER.match(line) is not None or (_MAYBE.match(line) is not None and not _wordy(line)):
             other = line
         if other is not None:
             if now:

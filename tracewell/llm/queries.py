@@ -24,6 +24,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.filter(F.col("longest_run") >= leakage.PASSAGE).select("item_id", "doc_id")
 
 
+def p6_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of which four fifths or more of the shingles occur close together in a document."""
+    hits = leakage.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
+    return hits.select("item_id", "doc_id", F.round("estimate", 4).alias("estimate"), F.round("containment", 4).alias("containment"))
+
+
 def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each leaked item with the number of documents that hold passages of it."""
     return p6_report(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("longest_run").alias("longest_run"), F.max("containment").alias("containment"))
@@ -43,22 +49,18 @@ def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # 8 ------------------------------------------------------------------------------------------------------------------
-#: Documents below this calibrated grade are not looked at further; both bounds of p8_found together mean a grade of 16.9.
-HARD_GRADE = 11.0
-
-
 def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.reading_levels(_table(spark, sf_dir, "documents"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents the models call hard, checked exactly against the two bounds."""
-    rows = p8_levels(spark, sf_dir)
+    """Documents whose prose, as the operator takes it apart, meets both bounds. The bounds are counts, so counts decide and no
+    estimate of a model may drop a document."""
     exact = (F.col("n_words") >= 22 * F.col("n_sentences")) & (F.col("n_letters") >= 5.8 * F.col("n_words")) & (F.col("n_words") > 0)
-    return rows.filter((F.col("difficulty") >= HARD_GRADE) & exact).select("doc_id")
+    return p8_levels(spark, sf_dir).filter(exact).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p6_report, p6_found, p6_items, p7_shares, p7_found, p7_mix, p8_levels, p8_found)}
+QUERIES = {f.__name__: f for f in (p6_report, p6_found, p6_contained, p6_items, p7_shares, p7_found, p7_mix, p8_levels, p8_found)}
 ORACLES: dict[str, str] = {
     # No source is near its bound whatever the tokenizer, so sizes in letters tell the same sources apart.
     "p7_found": r"""with d as (select lower(regexp_replace(source, '^\s+|\s+$', '', 'g')) k, sum(length(text)) n from documents where source is not null group by 1),

@@ -2,15 +2,18 @@
 
 A character model and a word model, both ridge-regularised and linear on hashed features, score each sentence; cumulative
 logits turn the score into a distribution over ``LEVELS`` levels. A document's distribution is the mean of those of its
-sentences, weighted by words, and its difficulty is the expected level, calibrated on documents to a school-grade scale.
+sentences, weighted by words, and its difficulty is the expected level, calibrated on documents to the scale of the labels.
 
-There are no human labels in the data, so the models learn weak ones: the readability grade of each sentence of a bounded
-sample, from its letters per word and words per sentence, cut at ``CUTS``.
+There are no human labels in the data, so the models learn weak ones that know neither the length of words nor of sentences:
+how rare the words of a sentence are in general language, by their ranks in the vocabulary of a public tokenizer, which
+lists what is frequent first, and how much it is divided into clauses, by its marks. Both are in bits; their sum is cut at
+``CUTS``.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,19 +23,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .prose import letters, prose_paragraphs, sentences
+from .tokens import default_vocabulary, encoding
 from .words import WordHashes
 
-CUTS = (4.0, 8.0, 12.0, 17.0)
+CUTS = (10.7, 11.4, 12.8, 14.3)
 LEVELS = len(CUTS) + 1
 DIM = 1 << 15
-#: Bounds of the labelled sample: documents by least hash of id, and sentences by least hash among theirs.
+#: Bounds of the labelled sample: documents (expected number) by hash, and sentences by least hash among theirs.
 SAMPLE_DOCS, SAMPLE_SENTENCES = 1_500, 12_000
 ROWS = "doc_id long, n_sentences int, n_words int, n_letters long, " + ", ".join(f"level_{k} double" for k in range(LEVELS)) + ", difficulty double"
 
 
-def grade(words: float, chars: float) -> float:
-    """Readability grade of a sentence of so many words and letters or digits (fixed, published weights)."""
-    return 4.71 * chars / max(words, 1) + 0.5 * words - 21.43
+class Rarity(dict):
+    """word -> bits of rarity: log2 of its rank if the vocabulary knows it as one piece, else of the vocabulary's size."""
+
+    def __init__(self, path: str):
+        self.encode, self.most = encoding(path).encode_ordinary, encoding(path).n_vocab
+
+    def __missing__(self, word: str) -> float:
+        pieces = self.encode(" " + word)
+        bits = self[word] = math.log2(1 + (pieces[0] if len(pieces) == 1 else self.most))
+        return bits
+
+
+_ALPHA, _MARK = re.compile(r"[^\W\d_]+"), re.compile(r"[,;:()\u2013\u2014]")
+
+
+def label(text: str, rarity: Rarity) -> float:
+    """Mean rarity of the words of a sentence (letters only, in lower case) and the logarithm of its clauses; 0 without words."""
+    words = _ALPHA.findall(text.lower())
+    return sum(rarity[w] for w in words) / len(words) + math.log2(1 + len(_MARK.findall(text))) if words else 0.0
 
 
 @dataclass
@@ -148,7 +168,10 @@ class LevelModel:
         return (full[:-1] - full[1:]).T
 
     def calibrated(self, expected: float) -> float:
-        return float(np.interp(expected, *self.scale))
+        """The step line of the calibration, carried on beyond its ends by their mean slope, so that nothing is clamped."""
+        xs, ys = self.scale
+        slope = (ys[-1] - ys[0]) / (xs[-1] - xs[0]) if len(xs) > 1 and xs[-1] > xs[0] else 1.0
+        return float(np.interp(expected, xs, ys)) + slope * (min(0.0, expected - xs[0]) + max(0.0, expected - xs[-1]))
 
 
 def rising(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[list[float], list[float]]:
@@ -164,12 +187,11 @@ def rising(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[list[float
     return xs, ys
 
 
-def fit(texts: list[str], words: np.ndarray, chars: np.ndarray, owner: np.ndarray, penalty: float = 0.02) -> LevelModel | None:
-    """Models of labelled sentences; None if there are too few to learn from (all documents then have no difficulty)."""
-    if len(texts) < 2:
+def fit(texts: list[str], words: np.ndarray, labels: np.ndarray, owner: np.ndarray, penalty: float = 0.02) -> LevelModel | None:
+    """Models of labelled sentences, ``words`` their weights; None if there are none (no document has prose then)."""
+    if not texts:
         return None
-    grades = np.array([grade(w, c) for w, c in zip(words, chars, strict=True)])
-    level = np.searchsorted(CUTS, grades, side="right").astype(float)
+    level = np.searchsorted(CUTS, labels, side="right").astype(float)
     hashes = WordHashes()
     cf, wf = character_features(texts), word_features(texts, hashes)
     mean = level.mean()
@@ -182,28 +204,32 @@ def fit(texts: list[str], words: np.ndarray, chars: np.ndarray, owner: np.ndarra
     model = LevelModel(wc.astype(np.float32), ww.astype(np.float32), tuple(float(m) for m in mix), logits, ([0.0, 1.0], [0.0, 1.0]))
     expected = model.levels(score) @ np.arange(LEVELS)
     n = owner.max() + 1
-    total, letter, count = np.bincount(owner, words, n), np.bincount(owner, chars, n), np.bincount(owner, minlength=n)
-    has = count > 0
-    e = np.bincount(owner, expected * words, n)[has] / total[has]
-    g = np.array([grade(w / k, c / k) for w, c, k in zip(total[has], letter[has], count[has], strict=True)])
+    total = np.bincount(owner, words, n)
+    has = total > 0
+    e, g = (np.bincount(owner, x * words, n)[has] / total[has] for x in (expected, labels))
     model.scale = rising(e, g, total[has])
     return model
 
 
-def sampled(documents: DataFrame, docs: int = SAMPLE_DOCS, limit: int = SAMPLE_SENTENCES) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """The labelled sample: sentences of the ``docs`` documents with the least hash of id and text, of these ``limit`` of least hash."""
+def sampled(documents: DataFrame, docs: int = SAMPLE_DOCS, limit: int = SAMPLE_SENTENCES, vocabulary: str | None = None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The labelled sample (sentences, words, labels, documents): of about ``docs`` documents, taken by a hash of id and
+    text, the ``limit`` sentences of least hash. Only sentences come to the driver."""
     h = F.xxhash64(F.lit("reading"), "doc_id", "text")
-    chosen = documents.filter("text is not null").select("doc_id", "text", h.alias("h")).orderBy("h").limit(docs)
+    known = documents.filter("text is not null")
+    share = min(1.0, docs / max(1, known.count()))
+    chosen = known.select("doc_id", "text", h.alias("h")).filter(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = split(batch.column(1).to_pylist())
             hs = batch.column(2).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([hs[i] for i in got.owner.tolist()], pa.int64()), pa.array(got.texts, pa.string()), pa.array(got.words), pa.array(got.chars)], ["h", "s", "w", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array([hs[i] for i in got.owner.tolist()], pa.int64()), pa.array(got.texts, pa.string()), pa.array(got.words)], ["h", "s", "w"])
 
-    rows = chosen.mapInArrow(run, "h long, s string, w long, c long").orderBy(F.xxhash64("h", "s"), "h", "s").limit(limit).collect()
+    rows = chosen.mapInArrow(run, "h long, s string, w long").orderBy(F.xxhash64("h", "s"), "h", "s").limit(limit).collect()
     ids = {h: i for i, h in enumerate(sorted({r["h"] for r in rows}))}
-    return [r["s"] for r in rows], np.array([r["w"] for r in rows], np.int64), np.array([r["c"] for r in rows], np.int64), np.array([ids[r["h"]] for r in rows], np.int64)
+    rarity = Rarity(vocabulary or default_vocabulary())
+    labels = np.array([label(r["s"], rarity) for r in rows])
+    return [r["s"] for r in rows], np.array([r["w"] for r in rows], np.int64), labels, np.array([ids[r["h"]] for r in rows], np.int64)
 
 
 def _levels(model: LevelModel | None):
@@ -245,14 +271,15 @@ def _rows(ids: list, texts: list, model: LevelModel | None, hashes: WordHashes)
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(count, pa.int32()), pa.array(words.astype(np.int64), pa.int32()), pa.array(chars.astype(np.int64), pa.int64()), *part, pa.array(hard, pa.float64())], names)
 
 
-def reading_levels(documents: DataFrame, docs: int = SAMPLE_DOCS, limit: int = SAMPLE_SENTENCES) -> DataFrame:
+def reading_levels(documents: DataFrame, docs: int = SAMPLE_DOCS, limit: int = SAMPLE_SENTENCES, vocabulary: str | None = None) -> DataFrame:
     """One row per row of ``documents`` (``doc_id``, ``text``): ``n_sentences``, ``n_words``, ``n_letters`` of its prose,
-    ``level_0`` ... the distribution of its sentences over levels weighted by words, ``difficulty`` as a school grade.
+    ``level_0`` ... the distribution of its sentences over levels weighted by words, ``difficulty`` in the bits of the labels.
 
     Prose is what is outside code, logs, traces, tables, headings and lists. Documents without prose, with null or blank
-    text among them, have counts of 0 and null levels. The models learn from at most ``docs`` documents and ``limit``
-    sentences; all documents are read whole and classified.
+    text among them, have counts of 0 and null levels. The models learn from about ``docs`` documents and at most ``limit``
+    sentences, from one sentence on, with labels by the ``vocabulary`` (a rank file of a public tokenizer, read on the driver
+    only); all documents are read whole and classified.
     """
     documents = documents.select(F.col("doc_id").cast("long"), "text")
-    model = fit(*sampled(documents, docs, limit))
+    model = fit(*sampled(documents, docs, limit, vocabulary))
     return documents.mapInArrow(_levels(model), ROWS)
