@@ -51,9 +51,18 @@ def allowed_path(path: Column) -> Column:
     return ~path.rlike("|".join(BANNED_PATHS))
 
 
-def strip_generics(name: Column) -> Column:
-    """``name`` without blanks and without what stands between angle brackets (one level)."""
-    return F.regexp_replace(F.regexp_replace(name, r"\s+", ""), r"<[^<>]*>", "")
+def without_blanks(name: Column) -> Column:
+    return F.translate(name, " \t\r\n", "")
+
+
+def without_generics(name: Column) -> Column:
+    """``name`` without arguments of generics, written plainly or escaped (fixed pattern)."""
+    return F.regexp_replace(name, r"<[\s.,a-zA-Z0-9]+>|\\u003C[\s.,a-zA-Z0-9]+\\u003E", "")
+
+
+def with_package(package: Column, name: Column) -> Column:
+    """``[package].name``, unless the name has its package in brackets already."""
+    return F.when(name.startswith("["), name).otherwise(F.concat(F.lit("["), package, F.lit("]."), name))
 
 
 def suffix_count(text: Column) -> Column:

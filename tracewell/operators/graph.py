@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import cut, shuffle_parts
+from ..runtime import cut, shuffle_parts, stored
 from .hierarchy import cycle_starts
 
 #: Rows that a task of ``per_project`` collects before it hands them on.
@@ -19,31 +19,51 @@ def closure(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Transitive closure of distinct (src, dst). A node reaches itself only along a cycle. Nulls are no nodes.
 
     Semi-naive doubling: what was new in the last round is extended by all that is known, so paths of length n are found
-    in log2(n) rounds, each cut in the shared folder.
+    in log2(n) rounds. Each round is a table of its own, so nothing known is written again.
     """
-    parts = shuffle_parts(edges.sparkSession)
-    reach = cut(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).dropna().distinct())
-    delta = reach
+    delta = stored(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).dropna().distinct())
+    reach = delta
     while not delta.isEmpty():
         step = delta.withColumnRenamed("dst", "mid").join(reach.withColumnRenamed("src", "mid"), "mid").select("src", "dst").distinct()
-        delta = cut(step.join(reach, ["src", "dst"], "left_anti"))
-        reach = cut(reach.unionByName(delta).coalesce(parts))
+        delta = stored(step.join(reach, ["src", "dst"], "left_anti"))
+        reach = reach.unionByName(delta)
     return reach.withColumnsRenamed({"src": src, "dst": dst})
 
 
 def reach_from(edges: DataFrame, starts: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """(``start``, ``node``) for all nodes reachable from ``starts`` (column ``start``), the start itself among them."""
-    parts = shuffle_parts(edges.sparkSession)
-    links = edges.select(F.col(src).alias("at"), F.col(dst).alias("node")).dropna().distinct()
-    seen = cut(starts.select("start", F.col("start").alias("node")).dropna().distinct())
-    front = seen
+    """(``start``, ``node``) for all nodes reachable from ``starts`` (column ``start``), the start itself among them.
+
+    One round a step; rounds are tables of their own, eight of which are put together at a time.
+    """
+    links = stored(edges.select(F.col(src).alias("at"), F.col(dst).alias("node")).dropna().distinct())
+    front = stored(starts.select("start", F.col("start").alias("node")).dropna().distinct())
+    seen, rounds = front, 1
     while not front.isEmpty():
         step = front.withColumnRenamed("node", "at").join(links, "at").select("start", "node").distinct()
-        front = cut(step.join(seen, ["start", "node"], "left_anti"))
-        seen = cut(seen.unionByName(front).coalesce(parts))
+        front = stored(step.join(seen, ["start", "node"], "left_anti"))
+        seen, rounds = seen.unionByName(front), rounds + 1
+        if rounds % 8 == 0:
+            seen = stored(seen.coalesce(shuffle_parts(edges.sparkSession)))
     return seen
 
 
+def first_names(links: DataFrame, node: str, base: str, name: str) -> DataFrame:
+    """Chains followed from each ``node`` over ``base`` to the first one that has a ``name``: ``node``, ``name``, ``hops``.
+
+    Pointer doubling, so a chain of n links takes log2(n) rounds, and what has no name after as many rounds as all nodes
+    could need runs round a cycle. Chains without a name give no row; a node given twice takes its greatest (name, base).
+    """
+    one = links.filter(F.col(node).isNotNull()).groupBy(F.col(node).alias("node")).agg(F.max(F.struct(F.col(name).alias("name"), F.col(base).alias("base"))).alias("m"))
+    state = stored(one.select("node", "m.name", F.when(F.col("m.name").isNull(), F.col("m.base")).alias("at"), F.when(F.col("m.name").isNull(), 1).otherwise(0).cast("long").alias("hops")))
+    for _ in range(state.count().bit_length() + 1):
+        if (open_ := state.filter("at is not null")).isEmpty():
+            break
+        far = state.select(F.col("node").alias("at"), F.col("name").alias("name_2"), F.col("at").alias("at_2"), F.col("hops").alias("hops_2"))
+        moved = open_.join(far, "at").select("node", F.col("name_2").alias("name"), F.col("at_2").alias("at"), (F.col("hops") + F.col("hops_2")).alias("hops"))
+        state = stored(moved.unionByName(state.filter("at is null")))
+    return state.filter("name is not null").select(F.col("node").alias(node), F.col("name").alias(name), F.col("hops").cast("int").alias("hops"))
+
+
 def parents_from_depth(nodes: DataFrame, tree: str, idx: str, depth: str) -> DataFrame:
     """``nodes`` of pre-order trees with ``parent_idx``: the last earlier node one level up (null at level 0).
 
@@ -55,26 +75,47 @@ def parents_from_depth(nodes: DataFrame, tree: str, idx: str, depth: str) -> Dat
     return asked.withColumn("parent_idx", open_at).filter(~F.col("__is")).drop("__at", "__level", "__is")
 
 
+class DepthRule:
+    """Depths of functions by the order-dependent rule of the survey (Q1).
+
+    Functions take their turn in a given order. A turn looks at the callees, last one first, one level down, and goes on below
+    those that had no turn yet; of one that had, the depth it got then is added and all it reaches is known from then on.
+    Every callee met counts with its level, met before or not. The result is the deepest level counted in the turn.
+    """
+
+    def __init__(self, calls: dict[str, list[str]]):
+        self.calls, self.depth, self.below = calls, {}, {}
+
+    def _meet(self, level: int, names: list[str], known: set[str]) -> Iterator[int]:
+        """Levels counted at the callees ``names`` and below them; explicit iterators, so depth is not bounded."""
+        walk = [(level, reversed(names))]
+        while walk:
+            level, rest = walk[-1]
+            name = next(rest, None)
+            if name is None:
+                walk.pop()
+                continue
+            yield level
+            if name in known:
+                continue
+            known.add(name)
+            if name in self.depth:
+                known |= self.below[name]
+                yield level + self.depth[name]
+            else:
+                walk.append((level + 1, reversed(self.calls.get(name, ()))))
+
+    def turn(self, name: str) -> int:
+        known: set[str] = set()
+        self.depth[name] = max(self._meet(1, list(self.calls.get(name, ())), known), default=0)
+        self.below[name] = known
+        return self.depth[name]
+
+
 def function_depths(order: list[str], calls: dict[str, list[str]]) -> dict[str, int]:
-    """Depth of each function by the order-dependent worklist rule: functions in the given order; a stack of (name, depth)
-    starts with the direct callees at depth 1; the greatest depth popped counts, seen before or not. A callee that is
-    already done is not entered: its stored depth is added, and all that it reaches counts as seen."""
-    stored_depth: dict[str, int] = {}
-    reaches: dict[str, set[str]] = {}
-    for name in order:
-        open_calls, seen, deepest = [(1, c) for c in calls.get(name, ())], set(), 0
-        while open_calls:
-            depth, at = open_calls.pop()
-            deepest = max(deepest, depth)
-            if at not in seen:
-                seen.add(at)
-                if at in stored_depth:
-                    deepest = max(deepest, depth + stored_depth[at])
-                    seen |= reaches[at]
-                else:
-                    open_calls.extend((depth + 1, c) for c in calls.get(at, ()))
-        stored_depth[name], reaches[name] = deepest, seen
-    return stored_depth
+    """Depth of each function by ``DepthRule``, turns in the given order."""
+    rule = DepthRule(calls)
+    return {name: rule.turn(name) for name in order}
 
 
 def call_tree_lines(entry: str, calls: dict[str, list[tuple[str, int]]]) -> list[tuple[int, str, int]]:

@@ -64,6 +64,24 @@ def merge_positional(coverage: DataFrame, order: str, func: str, pos: str, line:
     return seen.groupBy(func, pos).agg(F.min("__line").alias(line), F.max(hits).alias(hits), F.max((F.col(line) != F.col("__line")).cast("int")).alias("__off")).filter("__off = 0").drop("__off")
 
 
+def branch_blockers(coverage: DataFrame, sides: DataFrame, hit_lines: DataFrame, key: list[str]) -> DataFrame:
+    """Sides of branches that are never taken while another side of the branch is.
+
+    ``coverage``: ``key``, ``line``, ``hits`` (a count a side; of a switch, ``switched``, the first two are the switch
+    itself). ``sides``: ``key``, ``side_no``, ``side_line`` and four complexities. ``hit_lines``: lines of functions (``key``
+    without its last column, ``side_line``) that ran. A branch counts if it has as many counts as sides. A side counts if it
+    does not lie before its branch and its own line never ran (else it is fallen through to). ``hit_difference`` is the
+    greatest of the counts, for a switch also of its own.
+    """
+    taken = coverage.withColumn("own", F.when(F.col("switched"), F.array_max(F.slice("hits", 1, 2))).otherwise(-1)).withColumn("counts", F.when(F.col("switched"), F.slice("hits", 3, 1 << 20)).otherwise(F.col("hits")))
+    mixed = taken.filter(F.exists("counts", lambda n: n == 0) & F.exists("counts", lambda n: n != 0))
+    asked = mixed.select(*key, "line", F.size("counts").alias("n"), F.greatest(F.array_max("counts"), "own").cast("int").alias("hit_difference"), F.posexplode("counts").alias("side_no", "count")).filter("count = 0")
+    sized = sides.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    met = asked.join(sized, [*key, "n"], "left_semi").join(sides, [*key, "side_no"]).filter("side_line >= line")
+    cold = met.join(hit_lines, [*key[:-1], "side_line"], "left_anti")
+    return cold.select(*key, "side_no", "side_line", "unique_not_covered_cc", "unique_reachable_cc", "not_covered_cc", "reachable_cc", "hit_difference")
+
+
 def latest_by(df: DataFrame, keys: list[str], version: str, columns: list[str]) -> DataFrame:
     """Row of greatest ``version`` of each key (nulls are a key; null versions come first; ties take the greatest row)."""
     best = df.groupBy(*keys).agg(F.max(F.struct(version, *columns)).alias("__m"))

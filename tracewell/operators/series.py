@@ -20,19 +20,20 @@ def outage_filter(values: list[float | None]) -> list[bool]:
     """Which values of a series are kept: those outside outages.
 
     The baseline is the median of the last 15 values kept. A value below 85 % of it begins an outage, one of 95 % or more
-    ends it; a value of 0 or less (or null) is always dropped and begins one.
+    ends it; a value of 0 or less (or null) is always dropped and begins one. While there is no baseline yet a positive value
+    is kept, but does not end an outage.
     """
-    kept, out, down = [], [], False
+    kept: list[float] = []
+    out, down = [], False
     for v in values:
-        if v is None or v <= 0:
-            down = True
-            out.append(False)
-            continue
-        base = median(kept[-BASE:]) if kept else v
-        down = v < LEAVE * base if down else v < ENTER * base
-        out.append(not down)
-        if not down:
+        alive = v is not None and v > 0
+        wanted = median(kept[-BASE:]) * (LEAVE if down else ENTER) if kept else None
+        keep = alive and (wanted is None or v >= wanted)
+        if not alive or wanted is not None:
+            down = not keep
+        if keep:
             kept.append(v)
+        out.append(keep)
     return out
 
 

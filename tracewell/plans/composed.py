@@ -50,7 +50,7 @@ def g11_frontend_depth(t):
 
 
 @query("", """with recursive e as (select p_partkey src, p_partkey // 2 dst from part where p_partkey > 0 and p_partkey % 7 <> 0 union select p_partkey, p_partkey // 3 from part where p_partkey > 0 and p_partkey % 5 = 0),
-r(src, dst) as (select src, dst from e where src % 11 = 0 union select r.src, e.dst from r join e on e.src = r.dst) select src addr, count(*) types, min(dst) least from r group by 1""")
+r(src, dst) as (select src, dst from e union select r.src, e.dst from r join e on e.src = r.dst) select src addr, count(*) types, min(dst) least from r group by 1""")
 def g18_struct_closure(t):
     """All types that a struct is made of, by base and member links."""
     p = t.raw("part").select(F.col("p_partkey").alias("src")).filter("src > 0")
@@ -58,7 +58,7 @@ def g18_struct_closure(t):
     return graph.closure(edges).groupBy(F.col("src").alias("addr")).agg(F.count(F.lit(1)).alias("types"), F.min("dst").alias("least"))
 
 
-@query("", """with recursive s as (select p_partkey c, p_partkey // 4 parent from part where p_partkey > 0), r(root, c) as (select parent, c from s where parent < 20 union select r.root, s.c from r join s on s.parent = r.c)
+@query("", """with recursive s as (select p_partkey c, p_partkey // 4 parent from part where p_partkey > 0), r(root, c) as (select parent, c from s union select r.root, s.c from r join s on s.parent = r.c)
 select r.root, count(*) concrete, min(c) first_class from r where c % 3 <> 0 group by 1""")
 def g22_concrete_subclasses(t):
     """Concrete classes below each class, through all levels."""
@@ -68,28 +68,32 @@ def g22_concrete_subclasses(t):
     return below.groupBy(F.col("start").alias("root")).agg(F.count(F.lit(1)).alias("concrete"), F.min("node").alias("first_class"))
 
 
-@query("ff", """, pairs as (select project_name, arg_types, unnest(arg_types) a from ff), e as (select distinct p.project_name, 'struct' k, a from pairs p where contains(a, 'struct')) select project_name, a type_name from e""")
+@query("", """with recursive f as (select p_partkey src, p_partkey // 2 dst from part where p_partkey > 0 and p_partkey % 7 <> 0 union select p_partkey, p_partkey // 3 from part where p_partkey > 0 and p_partkey % 5 = 0),
+a as (select s_suppkey code, s_suppkey * 17 + 3 type from supplier), r(code, type) as (select code, type from a union select r.code, f.dst from r join f on f.src = r.type) select code, type from r""")
 def g23_argument_structs(t):
-    """Struct types named by the arguments of each project."""
-    return t.ff.select("project_name", F.explode("arg_types").alias("type_name")).filter(F.col("type_name").contains("struct")).distinct()
+    """Types that the argument of each command is made of: its own and, through the fields of structs, all below it."""
+    p = t.raw("part").select(F.col("p_partkey").alias("src")).filter("src > 0")
+    fields = p.filter("src % 7 <> 0").select("src", F.floor(F.col("src") / 2).alias("dst")).unionByName(p.filter("src % 5 = 0").select("src", F.floor(F.col("src") / 3).alias("dst")))
+    asked = t.raw("supplier").select(F.col("s_suppkey").alias("code"), (F.col("s_suppkey") * 17 + 3).alias("start"))
+    return asked.join(graph.reach_from(fields, asked.select("start")), "start").select("code", F.col("node").alias("type"))
 
 
-@query("cs", """, lc as (select project_name, function_name, max(line_cov) cov from all_functions_db group by 1, 2)
+@query("cs af", """, lc as (select project_name, function_name, max(line_cov) cov from af group by 1, 2)
 select c.project_name, c.site_dst sink, c.src_func, coalesce(any_value(lc.cov), 0) > 0 covered, count(*) sites from cs c left join lc on lc.project_name = c.project_name and lc.function_name = c.src_func where c.site_dst in ('xp_alloc', 'xp_open', 'xp_log') group by 1, 2, 3""")
 def j14_sink_callers(t):
     """Callers of sinks, and whether they ever ran."""
-    cov = t.raw("all_functions_db").groupBy("project_name", F.col("function_name").alias("src_func")).agg(F.max("line_cov").alias("cov"))
+    cov = t.af.groupBy("project_name", F.col("function_name").alias("src_func")).agg(F.max("line_cov").alias("cov"))
     calls = t.cs.filter(F.col("site_dst").isin("xp_alloc", "xp_open", "xp_log")).groupBy("project_name", F.col("site_dst").alias("sink"), "src_func").agg(F.count(F.lit(1)).alias("sites"))
     return calls.join(cov, ["project_name", "src_func"], "left").select("project_name", "sink", "src_func", (F.coalesce("cov", F.lit(0.0)) > 0).alias("covered"), "sites")
 
 
-@query("ff", """, a as (select project_name, replace(function_name, ' ', '') n, function_name, arg_count from ff qualify row_number() over (partition by project_name, replace(function_name, ' ', '') order by function_name) = 1),
-b as (select distinct project_name, replace(function_name, ' ', '') n from all_functions_db where fuzzers_reaching = 0) select a.project_name, a.function_name, a.arg_count from a join b using (project_name, n)""")
+@query("ff af", """, a as (select project_name, replace(function_name, ' ', '') n, function_name, arg_count from ff qualify row_number() over (partition by project_name, replace(function_name, ' ', '') order by function_name) = 1),
+b as (select distinct project_name, replace(function_name, ' ', '') n from af where fuzzers_reaching = 0) select a.project_name, a.function_name, a.arg_count from a join b using (project_name, n)""")
 def j16_named_targets(t):
     """Facts of functions named as targets, blanks left out of account, the first match kept."""
     key = F.replace("function_name", F.lit(" "), F.lit(""))
     a = t.ff.groupBy("project_name", key.alias("n")).agg(F.min(F.struct("function_name", "arg_count")).alias("m"))
-    b = t.raw("all_functions_db").filter("fuzzers_reaching = 0").select("project_name", key.alias("n")).distinct()
+    b = t.af.filter("fuzzers_reaching = 0").select("project_name", key.alias("n")).distinct()
     return a.join(b, ["project_name", "n"]).select("project_name", "m.function_name", "m.arg_count")
 
 
@@ -117,11 +121,11 @@ def a20_paths_by_end(t):
     return steps.groupBy("project_name", F.element_at("path", -1).alias("last_function")).agg(F.count(F.lit(1)).alias("paths"), F.min(F.get("path", F.lit(0))).alias("first_path"))
 
 
-@query("ff", "select project_name, function_name, greatest(1, edge_count - bb_count + 2)::int complexity, (edge_count * 1.4::double)::bigint estimated from ff where edge_count is not null and bb_count is not null")
+@query("ff", "select project_name, function_name, greatest(1, edge_count - bb_count + 2)::int complexity, trunc((edge_count + 1) * 1.4::double)::bigint estimated from ff where edge_count is not null and bb_count is not null")
 def a26_complexity_forms(t):
-    """Complexity from edges and nodes, and edges estimated by a fixed factor."""
+    """Complexity from edges and nodes, at least 1, and edges estimated from the number of conditions, cut to a whole number."""
     rows = t.ff.filter("edge_count is not null and bb_count is not null")
-    return rows.select("project_name", "function_name", F.greatest(F.lit(1), F.col("edge_count") - F.col("bb_count") + 2).alias("complexity"), F.round(F.col("edge_count") * F.lit(1.4).cast("double"), 0).cast("long").alias("estimated"))
+    return rows.select("project_name", "function_name", F.greatest(F.lit(1), F.col("edge_count") - F.col("bb_count") + 2).alias("complexity"), ((F.col("edge_count") + 1) * F.lit(1.4).cast("double")).cast("long").alias("estimated"))
 
 
 @query("cs", "select project_name, site_dst sink, src_func, row_number() over (partition by project_name, site_dst order by length(src_func), src_func) path_no from (select distinct project_name, site_dst, src_func from cs where site_dst is not null) qualify row_number() over (partition by project_name, site_dst order by length(src_func), src_func) <= 2")
@@ -156,7 +160,7 @@ def a20_call_paths_by_end(t):
 def j14_sink_blockers(t):
     """Call paths to sinks with the number of direct callers that ran, and, if none did, the blocker of the path: the
     function before the first one that never ran (J14 over whole paths; callers by function, as call sites have no hits)."""
-    ran = t.raw("all_functions_db").filter("line_cov > 0").select("project_name", F.col("function_name").alias("f")).distinct().withColumn("ran", F.lit(True))
+    ran = t.af.filter("line_cov > 0").select("project_name", F.col("function_name").alias("f")).distinct().withColumn("ran", F.lit(True))
     sinks = F.col("sink").isin("xp_alloc", "xp_open", "xp_log")
     calls = t.cs.select("project_name", F.col("site_dst").alias("sink"), F.col("src_func").alias("f")).filter(sinks).distinct()
     hit = calls.join(ran, ["project_name", "f"], "left").groupBy("project_name", "sink").agg(F.count("ran").alias("callers_hit"))

@@ -59,6 +59,13 @@ class Tables:
         cols = [c for c in self.raw("function_facts").columns if c not in ("project_name", "function_name", "load_ts")]
         return latest_by(self.raw("function_facts"), ["project_name", "function_name"], "load_ts", cols)
 
+    @property
+    def af(self) -> DataFrame:
+        """Functions of all snapshots, of each key the latest delivery."""
+        keys = ["project_name", "snap_date", "function_name", "function_source_file"]
+        rows = self.raw("all_functions_db")
+        return latest_by(rows, keys, "load_ts", [c for c in rows.columns if c not in (*keys, "load_ts")])
+
     @property
     def cs(self) -> DataFrame:
         sites = latest_by(self.raw("callsites"), ["site_id"], "load_ts", ["project_name", "src_func", "site_src", "site_dst"])
@@ -80,13 +87,14 @@ VIEWS = {
         (p_size*10)::bigint b, (p_size*10 + p_partkey % 40)::bigint e, p_partkey % 4 argc, (1 + p_size % 17)::bigint cc, p_size::bigint bb, floor(p_retailprice)::bigint ic from part)""",
     "ed": """ed as (select distinct src, dst from (select p_partkey src, p_partkey // 3 dst from part union all select p_partkey, p_partkey // 5 from part
         union all select p_partkey, p_partkey * 3 + 1 from part where p_partkey < 4) where src <> dst)""",
-    "hs": "hs as (select s_suppkey h, (select max(p_partkey) from part) - 7 * s_suppkey entry from supplier where s_suppkey < 10)",
+    "hs": "hs as (select s_suppkey h, (select max(p_partkey) from part) - 7 * s_suppkey entry from supplier)",
     "cl": """cl as (select l_suppkey % 10 h, l_partkey k, (l_linenumber*10 + floor(l_quantity)::bigint % 10)::bigint line,
         sum(case when l_linenumber <= l_partkey % 8 then floor(l_quantity)::bigint else 0 end)::bigint hits from lineitem group by all)""",
     "ct": """ct0 as (select user_id % 10 h, event_id, value, event_type, row_number() over (partition by user_id % 10 order by event_id) - 1 idx from events),
       ct as (select h, idx, (case when idx = 0 then 0 else [1,2,3,3,2,1,2,3][(idx - 1) % 8 + 1] end)::bigint depth,
         (case when event_type = 'error' then 0 else floor(value) end)::bigint hits, event_id % 97 k, (floor(value)::bigint % 50) line from ct0)""",
     "ff": "ff as (select * from function_facts qualify row_number() over (partition by project_name, function_name order by load_ts desc) = 1)",
+    "af": "af as (select * from all_functions_db qualify row_number() over (partition by project_name, snap_date, function_name, function_source_file order by load_ts desc) = 1)",
     "cs": """cs as (select *, regexp_extract(site_src, '^(.*):([0-9]+),([0-9]+)$', 1) file, try_cast(regexp_extract(site_src, '^(.*):([0-9]+),([0-9]+)$', 2) as bigint) line
         from callsites qualify row_number() over (partition by site_id order by load_ts desc) = 1)""",
     "ps": "ps as (select * from project_snapshots qualify row_number() over (partition by project_name, snap_date order by load_ts desc) = 1)",

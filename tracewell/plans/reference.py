@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import basename
 from ..operators import graph
-from ..operators.joins import asof_backward, merge_positional, overlapping, percentage, resolve_by_priority, within_range
+from ..operators.joins import asof_backward, latest_by, merge_positional, overlapping, percentage, resolve_by_priority, within_range
 from .domain import Tables, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,8 +121,8 @@ def g7_call_paths(t):
 
 @query("ed re", "select ed.dst k, count(*) parents, min(ed.src) first_parent from ed where exists (select 1 from re where re.src = ed.src and re.dst = ed.dst) group by 1")
 def g8_direct_parents(t):
-    """Direct callers of each function among those that reach it."""
-    return t.ed.join(graph.closure(t.ed), ["src", "dst"], "left_semi").groupBy(F.col("dst").alias("k")).agg(F.count(F.lit(1)).alias("parents"), F.min("src").alias("first_parent"))
+    """Direct callers of each function. A caller reaches what it calls, so being among the callers is the whole condition."""
+    return t.ed.groupBy(F.col("dst").alias("k")).agg(F.count(F.lit(1)).alias("parents"), F.min("src").alias("first_parent"))
 
 
 @query("ed re", "select dst k, count(*) incoming, min(src) least, max(src) greatest from re group by 1")
@@ -169,23 +169,17 @@ def g16_uses_by_reach(t):
     return graph.closure(t.ed).filter("src <> dst").groupBy(F.col("dst").alias("k")).agg(F.count(F.lit(1)).alias("uses"))
 
 
-@query("", """with recursive l as (select p_partkey addr, case when p_partkey % 7 = 0 then null else p_partkey // 2 end base, case when p_partkey % 7 = 0 then p_brand end name from part),
+@query("", """with recursive l as (select p_partkey addr, case when p_partkey % 7 = 0 then null else p_partkey // 2 end base, case when p_partkey % 7 = 0 then p_brand end name from part
+union all select -p_partkey - 1, -p_partkey - 2, case when p_partkey % 300 = 299 then p_brand end from part),
 w as (select addr, base, name, 0 hops from l union select w.addr, l.base, l.name, w.hops + 1 from w join l on l.addr = w.base where w.name is null)
 select addr, name, hops from w where name is not null""")
 def g17_type_chain(t):
-    """Type chains followed to the first name, guarded against cycles by the closure of base links."""
-    types = t.raw("part").select(F.col("p_partkey").alias("addr"), F.when(F.col("p_partkey") % 7 != 0, F.floor(F.col("p_partkey") / 2)).alias("base"), F.when(F.col("p_partkey") % 7 == 0, F.col("p_brand")).alias("name"))
-    spark = t.spark
-    parts = graph.shuffle_parts(spark)
-    walk = graph.cut(types.select("addr", "base", "name", F.lit(0).alias("hops")))
-    out = walk.filter("name is not null")
-    step = types.select(F.col("addr").alias("base"), F.col("base").alias("next"), F.col("name").alias("got"))
-    hops = 0
-    while not (walk := walk.filter("name is null and base is not null")).isEmpty() and hops < 64:
-        hops += 1
-        walk = graph.cut(walk.join(step, "base").select("addr", F.col("next").alias("base"), F.col("got").alias("name"), F.lit(hops).alias("hops")))
-        out = out.unionByName(walk.filter("name is not null")).coalesce(parts)
-    return out.select("addr", "name", "hops")
+    """Type chains followed to the first name, of any length; chains that run into a cycle or end without a name give no row."""
+    k = F.col("p_partkey")
+    part = t.raw("part")
+    short = part.select(k.alias("addr"), F.when(k % 7 != 0, F.floor(k / 2)).alias("base"), F.when(k % 7 == 0, F.col("p_brand")).alias("name"))
+    long = part.select((-k - 1).alias("addr"), (-k - 2).alias("base"), F.when(k % 300 == 299, F.col("p_brand")).alias("name"))
+    return graph.first_names(short.unionByName(long), "addr", "base", "name")
 
 
 @query("fn ed re", """select re.src k, count(distinct f.file) files, min(f.file) first_file from re join fn f on f.k = re.dst and f.argc = 0 group by 1""")
@@ -272,7 +266,7 @@ def j7_line_to_function(t):
     return within_range(t.cs.select("site_id", key("file"), "line"), ranges, "by", "line", "function_linenumber", "function_linenumber_end").select("site_id", "function_name")
 
 
-@query("fn", "select a.k, b.k other from fn a join fn b on a.file = b.file and a.b <= b.e and b.b <= a.e and a.k < b.k and a.argc = 1 and b.argc = 2")
+@query("fn", "select a.k, b.k other from fn a join fn b on a.file = b.file and a.b <= b.e and b.b <= a.e and a.k < b.k")
 def j8_overlapping_spans(t):
     """Functions of one file whose line spans overlap."""
     left = t.fn.select("k", "file", "b", "e")
@@ -324,19 +318,26 @@ def j13_third_party_calls(t):
 
 
 @query("", """with d as (select project_name, min(snap_date) a, max(snap_date) b from all_functions_db group by 1),
-v as (select project_name, snap_date, function_name, max(line_cov) cov from all_functions_db group by 1, 2, 3),
+af as (select * from all_functions_db qualify row_number() over (partition by project_name, snap_date, function_name, function_source_file order by load_ts desc) = 1),
+v as (select project_name, snap_date, function_name, max(coalesce(line_cov, -1)) cov, max(coalesce(fuzzers_reaching, -1)) reach from af group by 1, 2, 3),
 x as (select v.* from v join d on d.project_name = v.project_name and d.a = v.snap_date), y as (select v.* from v join d on d.project_name = v.project_name and d.b = v.snap_date)
 select coalesce(x.project_name, y.project_name) project_name, coalesce(x.function_name, y.function_name) function_name,
-case when x.function_name is null then 'only second' when y.function_name is null then 'only first' when coalesce(x.cov, -1) < coalesce(y.cov, -1) then 'better' when coalesce(x.cov, -1) > coalesce(y.cov, -1) then 'worse' else 'same' end verdict
+case when x.function_name is null then 'only second' when y.function_name is null then 'only first' when x.cov < y.cov then 'better' when x.cov > y.cov then 'worse' else 'same' end verdict,
+case when x.function_name is null or y.function_name is null then 'none' when x.reach < y.reach then 'more' when x.reach > y.reach then 'fewer' else 'same' end reach_verdict
 from x full join y on x.project_name = y.project_name and x.function_name = y.function_name""")
 def j15_report_diff(t):
-    """First and last report of each project compared function by function."""
-    rows = t.raw("all_functions_db").groupBy("project_name", "snap_date", "function_name").agg(F.max("line_cov").alias("cov"))
-    ends = t.raw("all_functions_db").groupBy("project_name").agg(F.min("snap_date").alias("a"), F.max("snap_date").alias("b"))
-    side = lambda c, out: rows.join(ends.select("project_name", F.col(c).alias("snap_date")), ["project_name", "snap_date"]).select("project_name", "function_name", F.coalesce("cov", F.lit(-1.0)).alias(out))
-    both = side("a", "x").join(side("b", "y"), ["project_name", "function_name"], "full")
+    """First and last report of each project compared function by function, by coverage and by the harnesses that reach."""
+    rows = t.raw("all_functions_db")
+    ends = graph.stored(rows.groupBy("project_name").agg(F.min("snap_date").alias("a"), F.max("snap_date").alias("b")))
+    dates = ends.select("project_name", F.explode(F.array_distinct(F.array("a", "b"))).alias("snap_date"))
+    two = latest_by(rows.join(dates, ["project_name", "snap_date"], "left_semi"), ["project_name", "snap_date", "function_name", "function_source_file"], "load_ts", ["line_cov", "fuzzers_reaching"])
+    best = two.groupBy("project_name", "snap_date", "function_name").agg(F.max(F.coalesce("line_cov", F.lit(-1.0))).alias("cov"), F.max(F.coalesce("fuzzers_reaching", F.lit(-1))).alias("reach"))
+    # One row a function: of the first and of the last snapshot, without a join of the two.
+    at = lambda c, end: F.max(F.when(F.col("snap_date") == F.col(end), F.col(c)))
+    both = best.join(ends, "project_name").groupBy("project_name", "function_name").agg(at("cov", "a").alias("x"), at("cov", "b").alias("y"), at("reach", "a").alias("rx"), at("reach", "b").alias("ry"))
     verdict = F.when(F.col("x").isNull(), "only second").when(F.col("y").isNull(), "only first").when(F.col("x") < F.col("y"), "better").when(F.col("x") > F.col("y"), "worse").otherwise("same")
-    return both.select("project_name", "function_name", verdict.alias("verdict"))
+    reach = F.when(F.col("x").isNull() | F.col("y").isNull(), "none").when(F.col("rx") < F.col("ry"), "more").when(F.col("rx") > F.col("ry"), "fewer").otherwise("same")
+    return both.select("project_name", "function_name", verdict.alias("verdict"), reach.alias("reach_verdict"))
 
 
 @query("ps", """, a as (select distinct project_name p, 'ok' s from ps where fuzzer_count > 5), b as (select distinct project_name p, 'ok' s from ps where coverage_data is null), c as (select distinct project_name p, 'ok' s from ps where introspector_data is not null)
@@ -430,14 +431,20 @@ def a8_covered_functions(t):
     return t.fn.filter("trim(file) <> ''").join(hit_lines(t).filter("hit > 0"), "k", "left_semi").select("k")
 
 
-@query("fn ed hs hr hc cl cm cf", """select (select count(*) from hs) harnesses, (select count(*) from fn) functions, (select count(*) from hc join fn using (k)) reached, (select sum(cc)::bigint from fn) complexity,
-(select count(*) from cf where hit > 0) covered, (select sum(n)::bigint from cf) lines_total, (select sum(hit)::bigint from cf) lines_hit""")
+@query("fn ed hs hr hc cl cm cf", """select (select count(*) from hs) harnesses, x.*, complexity - complexity_reached complexity_unreached, functions - reached unreached,
+100.0::double * complexity_reached / complexity complexity_reached_percent, 100.0::double * (complexity - complexity_reached) / complexity complexity_unreached_percent,
+100.0::double * reached / functions reached_percent, 100.0::double * (functions - reached) / functions unreached_percent, round(covered::double / functions, 2) * 100 covered_percent
+from (select count(*) functions, count(hc.k) reached, sum(cc)::bigint complexity, coalesce(sum(cc) filter (hc.k is not null), 0)::bigint complexity_reached,
+count(*) filter (cf.hit > 0) covered from fn left join hc using (k) left join cf using (k) where trim(file) <> '' and b <> -1) x""")
 def a9_project_stats(t):
-    """One-row record of the project."""
-    one = t.hs.agg(F.count(F.lit(1)).alias("harnesses"))
-    rows = t.fn.join(hit_counts(t), "k", "left").agg(F.count(F.lit(1)).alias("functions"), F.count("hc").alias("reached"), F.sum("cc").alias("complexity"))
-    cov = hit_lines(t).agg(F.count_if(F.col("hit") > 0).alias("covered"), F.sum("n").alias("lines_total"), F.sum("hit").alias("lines_hit"))
-    return one.crossJoin(rows).crossJoin(cov)  # one row each
+    """One-row record of the project; the share of covered functions is rounded before it is scaled."""
+    rows = t.fn.filter("trim(file) <> '' and b <> -1").join(hit_counts(t), "k", "left").join(hit_lines(t).select("k", "hit"), "k", "left")
+    r = rows.agg(F.count(F.lit(1)).alias("functions"), F.count("hc").alias("reached"), F.sum("cc").alias("complexity"), F.coalesce(F.sum(F.when(F.col("hc").isNotNull(), F.col("cc"))), F.lit(0)).alias("complexity_reached"), F.count_if(F.col("hit") > 0).alias("covered"))
+    one = t.hs.agg(F.count(F.lit(1)).alias("harnesses")).crossJoin(r)  # one row each
+    rest, left = F.col("complexity") - F.col("complexity_reached"), F.col("functions") - F.col("reached")
+    shares = [percentage(F.col("complexity_reached"), F.col("complexity")).alias("complexity_reached_percent"), percentage(rest, F.col("complexity")).alias("complexity_unreached_percent"), percentage(F.col("reached"), F.col("functions")).alias("reached_percent"), percentage(left, F.col("functions")).alias("unreached_percent")]
+    share = F.round(F.coalesce(F.try_divide(F.col("covered").cast("double"), F.col("functions")), F.lit(0.0)), 2) * 100
+    return one.select("harnesses", "functions", "reached", "complexity", "complexity_reached", "covered", rest.alias("complexity_unreached"), left.alias("unreached"), *shares, share.alias("covered_percent"))
 
 
 @query("ed hs hr cl", """, r as (select h, count(*) n from hr group by 1), c as (select h, count(distinct hr.k) n from hr join (select distinct h, k from cl where hits > 0) using (h, k) group by 1)
@@ -457,21 +464,57 @@ def branch_sides(t: Tables) -> DataFrame:
     return s.select("project_name", "function_name", "branch", "side_no", F.col("s.branch_side").alias("side"), F.col("s.branch_side_funcs").alias("callees"))
 
 
+def totals(t: Tables) -> DataFrame:
+    """(project, function, total): own complexity and that of the functions reached, without those at the function's place."""
+    place = lambda p: F.struct("function_source_file", "function_linenumber", "function_linenumber_end").alias(p)
+    own = t.ff.select("project_name", "function_name", "functions_reached", place("p"), F.col("cyclomatic_complexity").alias("cc"))
+    below = own.select("project_name", "function_name", "p", F.explode(F.array_distinct("functions_reached")).alias("callee"))
+    callee = t.ff.select("project_name", F.col("function_name").alias("callee"), place("q"), F.col("cyclomatic_complexity").alias("ccc"))
+    summed = below.join(callee, ["project_name", "callee"]).filter("not p <=> q").groupBy("project_name", "function_name").agg(F.sum("ccc").alias("s"))
+    return own.select("project_name", "function_name", "cc").join(summed, ["project_name", "function_name"], "left").select("project_name", "function_name", (F.coalesce("cc", F.lit(0)) + F.coalesce("s", F.lit(0))).alias("total"))
+
+
+def hit_functions(t: Tables) -> DataFrame:
+    """(project, function) with coverage in the project's last snapshot."""
+    last = t.raw("all_functions_db").groupBy("project_name").agg(F.max("snap_date").alias("snap_date"))
+    return t.af.join(last, ["project_name", "snap_date"], "left_semi").filter("line_cov > 0").select("project_name", "function_name").distinct()
+
+
 _SIDES = """, bp as (select project_name, function_name, unnest(branch_profiles) b from ff),
 bs as (select project_name, function_name, regexp_extract(b.branch_string, '([^/]*)$', 1) branch, b.branch_sides sides, unnest(range(len(b.branch_sides))) side_no from bp),
 sd as (select project_name, function_name, branch, side_no, sides[side_no + 1].branch_side side, sides[side_no + 1].branch_side_funcs callees from bs)"""
 
 
-@query("ff", _SIDES + """, ex as (select project_name, function_name, branch, side_no, unnest(callees) callee from sd)
-select s.project_name, s.function_name, s.branch, s.side_no::int side_no, s.side, coalesce(sum(f.cyclomatic_complexity), 0)::bigint reachable_cc from sd s
-left join ex e on e.project_name = s.project_name and e.function_name = s.function_name and e.branch = s.branch and e.side_no = s.side_no
-left join ff f on f.project_name = e.project_name and f.function_name = e.callee group by all""")
+_SIDE_CC = _SIDES + """, rc as (select distinct project_name, function_name, unnest(functions_reached) callee from ff),
+tc as (select f.project_name, f.function_name, (coalesce(f.cyclomatic_complexity, 0) + coalesce(sum(g.cyclomatic_complexity), 0))::bigint total from ff f left join rc on rc.project_name = f.project_name and rc.function_name = f.function_name
+ left join ff g on g.project_name = rc.project_name and g.function_name = rc.callee and (g.function_source_file is distinct from f.function_source_file or g.function_linenumber is distinct from f.function_linenumber or g.function_linenumber_end is distinct from f.function_linenumber_end)
+ group by f.project_name, f.function_name, f.cyclomatic_complexity),
+hf as (select distinct project_name, function_name from af where (project_name, snap_date) in (select project_name, max(snap_date) from all_functions_db group by 1) and line_cov > 0),
+ex as (select project_name, function_name, branch, side_no, unnest(callees) callee from sd),
+nm as (select project_name, function_name, branch, callee, count(distinct side_no) n from ex group by all),
+ec as (select e.*, tc.total, nm.n = 1 only_here, hf.function_name is null not_hit from ex e join nm using (project_name, function_name, branch, callee)
+ join tc on tc.project_name = e.project_name and tc.function_name = e.callee left join hf on hf.project_name = e.project_name and hf.function_name = e.callee),
+sc as (select s.project_name, s.function_name, s.branch, s.side_no::int side_no, s.side, coalesce(sum(total), 0)::bigint reachable_cc, coalesce(sum(total) filter (not_hit), 0)::bigint not_covered_cc,
+ coalesce(sum(total) filter (only_here), 0)::bigint unique_reachable_cc, coalesce(sum(total) filter (only_here and not_hit), 0)::bigint unique_not_covered_cc
+ from sd s left join ec on ec.project_name = s.project_name and ec.function_name = s.function_name and ec.branch = s.branch and ec.side_no = s.side_no group by s.project_name, s.function_name, s.branch, s.side_no, s.side)"""
+
+
+@query("ff af", _SIDE_CC + " select * from sc")
 def a11_side_complexity(t):
-    """Complexity behind each branch side, callees counted as often as they are named."""
+    """Accumulated complexity behind each branch side, callees counted as often as they are named: in all, of functions not
+    hit, and both of callees that no other side of the branch names."""
+    key = ["project_name", "function_name", "branch"]
     sides = branch_sides(t)
-    cc = t.ff.select("project_name", F.col("function_name").alias("callee"), F.col("cyclomatic_complexity").alias("cc"))
-    rows = sides.select("project_name", "function_name", "branch", "side_no", "side", F.explode_outer("callees").alias("callee")).join(cc, ["project_name", "callee"], "left")
-    return rows.groupBy("project_name", "function_name", "branch", "side_no", "side").agg(F.coalesce(F.sum("cc"), F.lit(0)).alias("reachable_cc"))
+    each = sides.select(*key, "side_no", F.explode("callees").alias("callee"))
+    sole = each.distinct().groupBy(*key, "callee").agg((F.count(F.lit(1)) == 1).alias("only_here"))
+    total = totals(t).select("project_name", F.col("function_name").alias("callee"), "total")
+    hit = hit_functions(t).select("project_name", F.col("function_name").alias("callee"), F.lit(True).alias("ran"))
+    rows = each.join(sole, [*key, "callee"]).join(total, ["project_name", "callee"]).join(hit, ["project_name", "callee"], "left")
+    part = lambda out, *conds: F.coalesce(F.sum(F.when(conds[0] & conds[-1], F.col("total")) if conds else F.col("total")), F.lit(0)).alias(out)
+    cold, only = F.col("ran").isNull(), F.col("only_here")
+    sums = rows.groupBy(*key, "side_no").agg(part("reachable_cc"), part("not_covered_cc", cold), part("unique_reachable_cc", only), part("unique_not_covered_cc", only, cold))
+    names = ["reachable_cc", "not_covered_cc", "unique_reachable_cc", "unique_not_covered_cc"]
+    return sides.select(*key, "side_no", "side").join(sums, [*key, "side_no"], "left").fillna(0, names)
 
 
 @query("ct", """select b.colour, count(ct.h) nodes from (values ('red'), ('gold'), ('yellow'), ('greenyellow'), ('lawngreen')) b(colour)
@@ -505,12 +548,15 @@ def a14_language(t):
     return counts.groupBy("project_name").agg(F.max(F.struct("n", "ord")).alias("m")).select("project_name", F.col("m.ord").alias("lang_no"))
 
 
-@query("ps", """, l as (select * from ps qualify row_number() over (partition by project_name order by snap_date desc) = 1)
-select lower(coalesce(proj_lang, 'n/a')) lang, count(*) projects, sum(coverage_data.line_coverage.count)::bigint lines_total, sum(coverage_data.line_coverage.covered)::bigint lines_covered from l group by 1""")
+@query("ps", """, l as (select * from ps qualify row_number() over (partition by project_name order by snap_date desc) = 1),
+x as (select lower(coalesce(proj_lang, 'n/a')) lang, coverage_data.line_coverage v from l), y as (select * from x union all select 'jvm', v from x where lang = 'java')
+select lang, count(*) projects, sum(v.count)::bigint lines_total, sum(v.covered)::bigint lines_covered from y group by 1""")
 def a15_coverage_by_language(t):
-    """Line coverage of each language over the latest day of its projects."""
+    """Line coverage of each language over the latest day of its projects; what is java counts for jvm as well."""
     last = t.ps.groupBy("project_name").agg(F.max_by(F.struct("proj_lang", "coverage_data.line_coverage"), "snap_date").alias("m"))
-    return last.groupBy(F.lower(F.coalesce("m.proj_lang", F.lit("n/a"))).alias("lang")).agg(F.count(F.lit(1)).alias("projects"), F.sum("m.line_coverage.count").alias("lines_total"), F.sum("m.line_coverage.covered").alias("lines_covered"))
+    lang = F.lower(F.coalesce("m.proj_lang", F.lit("n/a")))
+    rows = last.select(F.explode(F.when(lang == "java", F.array(lang, F.lit("jvm"))).otherwise(F.array(lang))).alias("lang"), F.col("m.line_coverage").alias("v"))
+    return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("projects"), F.sum("v.count").alias("lines_total"), F.sum("v.covered").alias("lines_covered"))
 
 
 @query("ps", """select lower(coalesce(proj_lang, 'n/a')) lang, count(*) total, count(*) filter (coverage_data is not null) with_coverage, count(*) filter (introspector_data is not null) with_report, count(*) filter (fuzzer_count > 0) with_fuzzers from ps group by 1""")
@@ -532,14 +578,18 @@ def a18_front_page(t):
     return t.db.agg(top("project_count", "max_projects"), top("fuzzer_count", "max_fuzzers"), top("function_count", "max_functions"), top("accummulated_lines_total", "max_lines"))
 
 
-@query("ps", """, s as (select project_name, snap_date, coverage_data.line_coverage.percent p, row_number() over (partition by project_name order by snap_date desc) r from ps where coverage_data.line_coverage.percent is not null)
-select project_name, max(p) filter (r > 1) max_past, max(p) filter (r = 1) current, coalesce(max(p) filter (r > 1) - max(p) filter (r = 1) > 5, false) degraded from s group by 1""")
+@query("ps", """, s as (select project_name, snap_date, coverage_data.line_coverage.percent p, row_number() over (partition by project_name order by snap_date desc) r from ps where coverage_data.line_coverage.percent is not null),
+g as (select project_name, coalesce(max(p) filter (r > 1), 0) max_past, round(avg(p::decimal(28, 9)), 2)::double mean_cov, max(p) filter (r = 1) as now_cov, max(snap_date) last_date from s group by 1)
+select project_name, max_past, mean_cov, now_cov, max_past - now_cov > 5 degraded, last_date < (select max(snap_date) from ps) lost from g""")
 def a19_degradation(t):
-    """Best past and current coverage of each series, and whether it fell by more than 5 points."""
+    """Best past, mean and current coverage of each series, whether it fell by more than 5 points below its best, and whether
+    the series has no value on the last day of all."""
     s = t.ps.select("project_name", "snap_date", F.col("coverage_data.line_coverage.percent").alias("p")).filter("p is not null")
     r = s.withColumn("r", F.row_number().over(Window.partitionBy("project_name").orderBy(F.desc("snap_date"))))
-    g = r.groupBy("project_name").agg(F.max(F.when(F.col("r") > 1, F.col("p"))).alias("max_past"), F.max(F.when(F.col("r") == 1, F.col("p"))).alias("current"))
-    return g.withColumn("degraded", F.coalesce(F.col("max_past") - F.col("current") > 5, F.lit(False)))
+    mean = F.round(F.sum(F.col("p").cast("decimal(28,9)")).cast("double") / F.count("p"), 2)
+    g = r.groupBy("project_name").agg(F.coalesce(F.max(F.when(F.col("r") > 1, F.col("p"))), F.lit(0.0)).alias("max_past"), mean.alias("mean_cov"), F.max(F.when(F.col("r") == 1, F.col("p"))).alias("now_cov"), F.max("snap_date").alias("last_date"))
+    end = t.raw("project_snapshots").agg(F.max("snap_date").alias("end_date"))
+    return g.crossJoin(F.broadcast(end)).select("project_name", "max_past", "mean_cov", "now_cov", (F.col("max_past") - F.col("now_cov") > 5).alias("degraded"), (F.col("last_date") < F.col("end_date")).alias("lost"))  # one row
 
 
 @query("ct", "select h, max(depth) max_depth from ct group by 1")
@@ -555,10 +605,16 @@ def a22_public_classes(t):
     return t.ff.select("project_name", name.alias("class_name")).filter("class_name <> ''").distinct()
 
 
-@query("ff", "select project_name, function_name, (case when edge_count is null or bb_count is null then 1 when edge_count - bb_count + 2 < 1 then 1 else edge_count - bb_count + 2 end)::int complexity from ff")
+@query("ff", """, x as (select project_name, function_name, coalesce(edge_count, 0)::bigint e, coalesce(bb_count, 0)::bigint n from ff union all select 'fixture', 'many_edges', 1000010, 3 union all select 'fixture', 'switch', 2, 9),
+y as (select *, case when e < n then e + n else e end - n + 2 c from x) select project_name, function_name, case when c > 999999 then 1 else c end complexity from y""")
 def a24_cyclomatic(t):
-    """Complexity from edges and blocks, at least 1."""
-    return t.ff.select("project_name", "function_name", F.greatest(F.lit(1), F.coalesce(F.col("edge_count") - F.col("bb_count") + 2, F.lit(1))).alias("complexity"))
+    """Complexity E - N + 2 from edges and blocks (null counts as 0). Fewer edges than blocks means unhandled switches, and
+    the blocks are added to the edges; above 999999 it is 1. Two rows of literals meet these rules."""
+    e, n = F.coalesce("edge_count", F.lit(0)).cast("long"), F.coalesce("bb_count", F.lit(0)).cast("long")
+    more = t.spark.createDataFrame([("fixture", "many_edges", 1000010, 3), ("fixture", "switch", 2, 9)], "project_name string, function_name string, e long, n long")
+    rows = t.ff.select("project_name", "function_name", e.alias("e"), n.alias("n")).unionByName(more)
+    c = F.when(F.col("e") < F.col("n"), F.col("e")).otherwise(F.col("e") - F.col("n")) + 2
+    return rows.select("project_name", "function_name", F.when(c > 999999, 1).otherwise(c).cast("long").alias("complexity"))
 
 
 @query("ff", """select project_name, return_type, regexp_extract(function_name, '([A-Za-z_]+)', 1) stem, function_name, arg_count from ff
@@ -570,9 +626,8 @@ def a27_overloads(t):
     return rows.withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r")
 
 
-@query("", """select project_name, snap_date, sum(cyclomatic_complexity) filter (fuzzers_reaching > 0)::bigint reached_cc, sum(cyclomatic_complexity)::bigint total_cc, count(*) filter (line_cov > 0) covered
-from (select distinct * exclude (load_ts) from all_functions_db) group by 1, 2""")
+@query("af", """select project_name, snap_date, sum(cyclomatic_complexity) filter (fuzzers_reaching > 0)::bigint reached_cc, sum(cyclomatic_complexity)::bigint total_cc, count(*) filter (line_cov > 0) covered
+from af group by 1, 2""")
 def a28_reach_over_time(t):
-    """Reached complexity and covered functions of each snapshot."""
-    rows = t.raw("all_functions_db").drop("load_ts").distinct()
-    return rows.groupBy("project_name", "snap_date").agg(F.sum(F.when(F.col("fuzzers_reaching") > 0, F.col("cyclomatic_complexity"))).alias("reached_cc"), F.sum("cyclomatic_complexity").alias("total_cc"), F.count_if(F.col("line_cov") > 0).alias("covered"))
+    """Reached complexity and covered functions of each snapshot, of each function its latest delivery."""
+    return t.af.groupBy("project_name", "snap_date").agg(F.sum(F.when(F.col("fuzzers_reaching") > 0, F.col("cyclomatic_complexity"))).alias("reached_cc"), F.sum("cyclomatic_complexity").alias("total_cc"), F.count_if(F.col("line_cov") > 0).alias("covered"))

@@ -14,16 +14,21 @@ from .reference import branch_sides, harness_reach, hit_counts, hit_lines, query
 
 
 # Filters --------------------------------------------------------------------------------------------------------------
-@query("ff", r"select project_name, function_name, regexp_replace(regexp_replace(function_name, '\s+', '', 'g'), '<[^<>]*>', '', 'g') plain_name, return_type from ff")
+@query("ff", r"""select project_name, function_name, regexp_replace(function_name, '[ \t\r\n]', '', 'g') normal_name, regexp_replace(function_name, '<[\s.,a-zA-Z0-9]+>', '', 'g') plain_name,
+case when starts_with(function_name, '[') then function_name else concat('[', function_source_file, '].', function_name) end full_name
+from (select project_name, function_name, function_source_file from ff union all values ('fixture', '[pkg.Map<K, V>].put(java.lang.String,T)', 'Map.java'), ('fixture', E'a\tb c', 'x.c'))""")
 def f1_normalised_names(t):
-    """Names without blanks and generics."""
-    return t.ff.select("project_name", "function_name", P.strip_generics(F.col("function_name")).alias("plain_name"), "return_type")
+    """Names without blanks, without generics, and with their package. Mangled names stay as they are: no demangler is here."""
+    more = t.spark.createDataFrame([("fixture", "[pkg.Map<K, V>].put(java.lang.String,T)", "Map.java"), ("fixture", "a\tb c", "x.c")], "project_name string, function_name string, function_source_file string")
+    rows = t.ff.select("project_name", "function_name", "function_source_file").unionByName(more)
+    n = F.col("function_name")
+    return rows.select("project_name", "function_name", P.without_blanks(n).alias("normal_name"), P.without_generics(n).alias("plain_name"), P.with_package(F.col("function_source_file"), n).alias("full_name"))
 
 
-@query("ff", base._SIDES + r" select project_name, function_name, branch, side_no::int side_no, array_to_string(list_filter(callees, lambda x: not regexp_matches(x, '^__sanitizer|^llvm\.|^__assert|.*printf$')), ',') callees from sd")
+@query("ff", base._SIDES + r" select project_name, function_name, branch, side_no::int side_no, array_to_string(list_transform(list_filter(callees, lambda x: not regexp_matches(x, '^__sanitizer|^llvm\.|^__assert|.*printf$')), lambda x: replace(x, ' ', '')), ',') callees from sd")
 def f2_visible_callees(t):
     """Callees of branch sides without runtime and output functions."""
-    return branch_sides(t).select("project_name", "function_name", "branch", "side_no", F.array_join(P.visible_callees(F.col("callees")), ",").alias("callees"))
+    return branch_sides(t).select("project_name", "function_name", "branch", "side_no", F.array_join(F.transform(P.visible_callees(F.col("callees")), lambda x: F.replace(x, F.lit(" "), F.lit(""))), ",").alias("callees"))
 
 
 @query("ff", "select project_name, function_name from ff where not regexp_matches(function_name, 'sanitizer|llvm|LLVMFuzzerTestOneInput')")
@@ -58,10 +63,11 @@ def f8_optimal_candidates(t):
     return rows.filter("argc <> 0 and bb > 1 and total_cc >= 20 and undiscovered_cc >= 35").select("k", "total_cc", "undiscovered_cc")
 
 
-@query("cl cm cf", "select k, n, hit from cf where n > 15 and 100.0::double * hit / n < 55")
+@query("cl cm cf", """select k, n, hit from (select * from cf union all select -1, 40, 10 union all select -2, 40, 30 union all select -3, 30, 1) where n > 30 and 100.0::double * hit / n < 55""")
 def f9_low_coverage(t):
-    """Functions with many lines of which few are hit."""
-    return hit_lines(t).filter((F.col("n") > 15) & (percentage(F.col("hit"), F.col("n")) < 55))
+    """Functions of more than 30 lines of which less than 55 percent are hit. Three rows of literals lie about the bounds."""
+    more = t.spark.createDataFrame([(-1, 40, 10), (-2, 40, 30), (-3, 30, 1)], "k long, n long, hit long")
+    return hit_lines(t).unionByName(more).filter((F.col("n") > 30) & (percentage(F.col("hit"), F.col("n")) < 55))
 
 
 @query("fn cl cm cf", "select f.k, f.cc, coalesce(100.0::double * hit / n, 0) hit_percent from fn f left join cf using (k) where coalesce(100.0::double * hit / n, 0) <= 20 and f.cc >= 5")
@@ -74,10 +80,11 @@ def f10_functions_of_interest(t):
 _KEYS = "|".join(sorted({f for w in P.KEYWORDS for f in (w, w.replace("_", ""))}))
 
 
-@query("ff", f"select project_name, function_name from ff where regexp_matches(lower(function_name), '{_KEYS}|pack')")
+@query("ff", f"select project_name, function_name from (select project_name, function_name from ff union all values ('fixture', 'DeSerializeAll'), ('fixture', 'myReadJsonDoc'), ('fixture', 'pack_all')) where regexp_matches(lower(function_name), '{_KEYS}')")
 def f11_keyword_names(t):
-    """Functions whose names hold a keyword."""
-    return t.ff.filter(P.keyword_name(F.col("function_name"), (*P.KEYWORDS, "pack"))).select("project_name", "function_name")
+    """Functions whose names hold one of the thirteen keywords, with or without its underscores."""
+    more = t.spark.createDataFrame([("fixture", "DeSerializeAll"), ("fixture", "myReadJsonDoc"), ("fixture", "pack_all")], "project_name string, function_name string")
+    return t.ff.select("project_name", "function_name").unionByName(more).filter(P.keyword_name(F.col("function_name")))
 
 
 @query("ff", "select project_name, function_name from ff where (len(arg_types) = 1 and (contains(arg_types[1], 'char *') or contains(arg_types[1], 'string'))) or (len(arg_types) = 2 and contains(arg_types[1], 'char *') and contains(arg_types[2], 'int'))")
@@ -108,10 +115,12 @@ def f15_excluded_by_pattern(t):
     return t.cs.filter(~F.col("src_func").rlike("^xp_") & ~F.coalesce("file", F.lit("")).rlike("^extern") & (F.col("site_dst").isNull() | ~F.col("site_dst").rlike("^xp_"))).select("site_id")
 
 
-@query("cs", "select distinct project_name, src_func from cs where not contains(coalesce(file, ''), '/src/')")
+@query("ff", "select project_name, function_name from (select project_name, function_name, function_source_file from ff union all values ('fixture', 'malloc', ''), ('fixture', 'own', 'a.c'), ('fixture', 'free', null)) where coalesce(function_source_file, '') = ''")
 def f16_without_file(t):
-    """Callers outside the project's sources."""
-    return t.cs.filter(~F.coalesce("file", F.lit("")).contains("/src/")).select("project_name", "src_func").distinct()
+    """Functions of third parties: those without a source file. The facts have none, so literals stand for them."""
+    more = t.spark.createDataFrame([("fixture", "malloc", ""), ("fixture", "own", "a.c"), ("fixture", "free", None)], "project_name string, function_name string, function_source_file string")
+    rows = t.ff.select("project_name", "function_name", "function_source_file").unionByName(more)
+    return rows.filter(F.coalesce("function_source_file", F.lit("")) == "").select("project_name", "function_name")
 
 
 _LAST = "l as (select * from all_functions_db where (project_name, snap_date) in (select project_name, max(snap_date) from all_functions_db group by 1) qualify row_number() over (partition by project_name, function_name, function_source_file order by load_ts desc) = 1)"
@@ -152,12 +161,10 @@ def f21_allowed_paths(t):
     return t.raw("all_functions_db").filter(P.allowed_path(F.col("function_source_file"))).select("function_source_file").distinct()
 
 
-@query("ff", base._SIDES + """, ex as (select project_name, function_name, branch, side_no, unnest(callees) callee from sd),
-c as (select e.project_name, e.function_name, e.branch, e.side_no, sum(f.cyclomatic_complexity)::bigint cc from ex e join ff f on f.project_name = e.project_name and f.function_name = e.callee group by all)
-select project_name, function_name, branch, side_no::int side_no, cc from c where cc >= 5""")
+@query("ff af", base._SIDE_CC + " select project_name, function_name, branch, side_no, unique_not_covered_cc cc from sc where unique_not_covered_cc >= 5")
 def f22_worthwhile_sides(t):
-    """Branch sides with complexity of 5 or more behind them."""
-    return base.a11_side_complexity(t).filter("reachable_cc >= 5").select("project_name", "function_name", "branch", "side_no", F.col("reachable_cc").alias("cc"))
+    """Branch sides that alone lead to uncovered complexity of 5 or more."""
+    return base.a11_side_complexity(t).filter("unique_not_covered_cc >= 5").select("project_name", "function_name", "branch", "side_no", F.col("unique_not_covered_cc").alias("cc"))
 
 
 @query("ff", "select project_name, function_name name, regexp_extract(function_source_file, '([^/]*)$', 1) file, function_linenumber line_from, function_linenumber_end line_to, arg_count argc, array_to_string(arg_types, ', ') args, len(functions_reached) reached, cyclomatic_complexity cc from ff")
@@ -195,10 +202,11 @@ def f27_reached_uncovered(t):
     return harness_reach(t).join(f26_runtime_reached(t), ["h", "k"], "left_anti")
 
 
-@query("", "select distinct function_source_file from all_functions_db where contains(function_source_file, 'token')")
+@query("", "select distinct function_source_file from (select function_source_file from all_functions_db union all values ('/src/a/unittests/b.c'), ('/src/a/b.c')) where contains(function_source_file, 'test')")
 def f28_files_by_word(t):
-    """Files whose path holds a word."""
-    return t.raw("all_functions_db").filter(F.col("function_source_file").contains("token")).select("function_source_file").distinct()
+    """Source files of tests, by the word in their path."""
+    more = t.spark.createDataFrame([("/src/a/unittests/b.c",), ("/src/a/b.c",)], "function_source_file string")
+    return t.raw("all_functions_db").select("function_source_file").unionByName(more).filter(F.col("function_source_file").contains("test")).distinct()
 
 
 @query("ff", r"select project_name, function_name from ff where not regexp_matches(function_name, '(^|[.:])(get|set|is|has)[A-Z_]') and not regexp_matches(lower(function_name), 'test|tostring|hashcode|equals') and arg_count > 0")
@@ -251,15 +259,32 @@ def h3_unique_callees(t):
     return sides.select(*key, "side_no").join(several, key).join(counts, [*key, "side_no"], "left").fillna(0, ["unique_callees"])
 
 
-@query("ff", base._SIDES + """, ex as (select project_name, function_name, branch, side_no, unnest(callees) callee from sd),
-c as (select s.project_name, s.function_name, s.branch, s.side_no, coalesce(sum(f.cyclomatic_complexity), 0)::bigint cc from sd s left join ex e on e.project_name = s.project_name and e.function_name = s.function_name and e.branch = s.branch and e.side_no = s.side_no left join ff f on f.project_name = e.project_name and f.function_name = e.callee group by all),
-cv as (select project_name, function_name, max(line_cov) cov from all_functions_db group by 1, 2)
-select c.project_name, c.function_name, c.branch, max(cc) filter (side_no = 0) cc_0, max(cc) filter (side_no = 1) cc_1, any_value(cov) cov from c join cv on cv.project_name = c.project_name and cv.function_name = c.function_name group by 1, 2, 3 having max(cc) filter (side_no = 0) <> max(cc) filter (side_no = 1)""")
+_BLOCKERS = base._SIDE_CC + """, bl as (select project_name, function_name, branch, string_split(string_split(branch, ':')[2], ',')[1]::int bline, count(*) sides from sd group by all),
+cv as (select *, ((bline + 3 * side_no) % 3) * 10 hits, bline % 5 = 0 switched from (select bl.*, unnest(range(case when bline % 11 = 0 then sides + 1 else sides end)) side_no from bl)),
+ag as (select project_name, function_name, branch, bline, sides, switched, count(*) n, count(*) filter (hits = 0) cold, greatest(max(hits), case when switched then bline % 7 else -1 end) diff from cv group by all)
+select cv.project_name, cv.function_name, cv.branch, cv.side_no::int side_no, string_split(sc.side, ',')[1]::int side_line, sc.unique_not_covered_cc, sc.unique_reachable_cc, sc.not_covered_cc, sc.reachable_cc, ag.diff::int hit_difference
+from cv join ag using (project_name, function_name, branch) join sc on sc.project_name = cv.project_name and sc.function_name = cv.function_name and sc.branch = cv.branch and sc.side_no = cv.side_no
+where cv.hits = 0 and ag.cold < ag.n and ag.n = ag.sides and string_split(sc.side, ',')[1]::int >= cv.bline and string_split(sc.side, ',')[1]::int % 4 <> 1"""
+
+
+@query("ff af", _BLOCKERS)
 def j5_branch_coverage(t):
-    """Branches of covered functions whose two sides hide unequal complexity."""
-    cc = base.a11_side_complexity(t).groupBy("project_name", "function_name", "branch").agg(F.max(F.when(F.col("side_no") == 0, F.col("reachable_cc"))).alias("cc_0"), F.max(F.when(F.col("side_no") == 1, F.col("reachable_cc"))).alias("cc_1"))
-    cov = t.raw("all_functions_db").groupBy("project_name", "function_name").agg(F.max("line_cov").alias("cov"))
-    return cc.filter("cc_0 <> cc_1").join(cov, ["project_name", "function_name"])
+    """Branch blockers: sides never taken of branches of which another side is taken, with what lies behind them.
+
+    Run-time counts of branches and lines are made of the branch's line (the tables have none): a count a side, two more
+    in front for switches. See ``joins.branch_blockers`` for the rules."""
+    from ..operators.joins import branch_blockers
+
+    key = ["project_name", "function_name", "branch"]
+    sides = base.a11_side_complexity(t).withColumn("side_line", F.split("side", ",")[0].cast("int"))
+    line = F.split(F.split("branch", ":")[1], ",")[0].cast("int")
+    each = sides.groupBy(*key).agg(F.count(F.lit(1)).cast("int").alias("n")).withColumn("line", line)
+    size = F.when(F.col("line") % 11 == 0, F.col("n") + 1).otherwise(F.col("n"))
+    counts = F.transform(F.sequence(F.lit(0), size - 1), lambda i: (F.col("line") + 3 * i) % 3 * 10)
+    switch = F.when((F.col("line") % 5 == 0), F.array(F.lit(0), F.col("line") % 7)).otherwise(F.array().cast("array<int>"))
+    coverage = each.select(*key, "line", F.concat(switch, counts).alias("hits"), (F.col("line") % 5 == 0).alias("switched"))
+    hit = sides.select("project_name", "function_name", "side_line").filter("side_line % 4 = 1").distinct()
+    return branch_blockers(coverage, sides, hit, key)
 
 
 @query("ff", base._SIDES + """, m as (select project_name, function_name, branch, max(len(callees))::int size, count(*) sides from sd group by all)
@@ -280,10 +305,14 @@ def numbered(rows: DataFrame, order: list) -> DataFrame:
 
 
 # Windows --------------------------------------------------------------------------------------------------------------
-@query()
+@query("db", """, s as (select db_name, snap_date, project_count::double v, row_number() over (partition by db_name order by snap_date) n from db),
+st as (select db_name, snap_date, n, v, case when v > 0 then [v] else []::double[] end kept, coalesce(v, 0) <= 0 down, coalesce(v > 0, false) keep from s where n = 1
+union all select s.db_name, s.snap_date, s.n, s.v, case when x.keep then list_append(st.kept, s.v) else st.kept end, case when coalesce(s.v, 0) <= 0 then true when len(st.kept) = 0 then st.down else not x.keep end, x.keep
+from st join s on s.db_name = st.db_name and s.n = st.n + 1, lateral (select coalesce(s.v > 0 and (len(st.kept) = 0 or s.v >= case when st.down then 0.95 else 0.85 end::double * list_aggregate(st.kept[-15:], 'median')), false) keep) x)
+select db_name, snap_date, v project_count from st where keep""")
 def w1_outage_filter(t):
-    """Days of each database outside outages of its number of functions (tested against a restatement)."""
-    return series.without_outages(t.db, "db_name", "snap_date", "function_count")
+    """Days of each database outside outages of its number of projects."""
+    return series.without_outages(t.db, "db_name", "snap_date", "project_count")
 
 
 @query("ps", "select project_name, snap_date from (select project_name, snap_date, coverage_data.line_coverage.percent p, lag(coverage_data.line_coverage.percent) over (partition by project_name order by snap_date) q from ps) where q - p > 5")
@@ -392,9 +421,13 @@ def t3_public_order(t):
 @query("fn ed re cl cm cf", """, i as (select f.k, f.cc from fn f left join cf using (k) where coalesce(100.0::double * hit / n, 0) <= 20 order by f.cc desc, f.k limit 10)
 select i.k, (i.cc + coalesce(sum(g.cc), 0))::bigint total_cc from i left join re on re.src = i.k left join fn s on s.k = i.k left join fn g on g.k = re.dst and not (g.file = s.file and g.b = s.b and g.e = s.e) group by i.k, i.cc""")
 def t4_far_reach(t):
-    """The ten most complex hardly covered functions, with the complexity they reach."""
-    interest = base.a7_hit_summary(t).filter("hit_percent <= 20").join(t.fn.select("k", "cc"), "k").orderBy(F.desc("cc"), "k").limit(10).select("k")
-    return base.a2_complexity(t).join(F.broadcast(interest), "k").select("k", "total_cc")  # ten rows
+    """The ten most complex hardly covered functions, with the complexity they reach: only these ten are walked from."""
+    place = lambda p: F.struct("file", "b", "e").alias(p)
+    interest = graph.stored(base.a7_hit_summary(t).filter("hit_percent <= 20").join(t.fn.select("k", "cc", place("p")), "k").orderBy(F.desc("cc"), "k").limit(10).select("k", "cc", "p"))
+    reached = graph.reach_from(t.ed, interest.select(F.col("k").alias("start"))).filter("start <> node")
+    below = reached.join(t.fn.select(F.col("k").alias("node"), place("q"), F.col("cc").alias("ccc")), "node").join(F.broadcast(interest.select(F.col("k").alias("start"), "p")), "start").filter("p <> q")  # ten rows
+    sums = below.groupBy(F.col("start").alias("k")).agg(F.sum("ccc").alias("s"))
+    return interest.join(sums, "k", "left").select("k", (F.col("cc") + F.coalesce("s", F.lit(0))).alias("total_cc"))
 
 
 @query()
