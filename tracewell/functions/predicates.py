@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Patterns and words that results have to agree with.
@@ -12,6 +12,25 @@ KEYWORDS = ("deserialize", "parse", "parse_xml", "read_file", "read_json", "read
 PUBLIC_EXCLUDED = ("fuzzertestoneinput", "fuzzerinitialize", "fuzzerteardown", "exception", "error", "test", "llvmfuzertestoneinput", "fuzz_target")
 BANNED_PATHS = ("/src/fuzztest/", "/src/libfuzzer/", "/src/aflplusplus/", "/LPM/", "/googletest/", "/third_party/", "/thirdparty/", "fuzz", "/depends/", "/external/", "/build/", "/src/inspector/", "/source-code/", "/workspace/")
 
+#: Functions outside the project that no call tree enters.
+EXCLUDED_FUNCTIONS = ("^_ZNSt3", "^_ZSt", "^_ZNKSt", "^_ZTv0_n24_NSt", "^_ZN18FuzzedDataProvider", "^_Zd", "^_Zn", "^free$", "^malloc$", "llvm[.]", "sanitizer_cov", "sancov[.]module")
+
+
+def not_excluded(name: Column, patterns: tuple[str, ...] = EXCLUDED_FUNCTIONS) -> Column:
+    return ~name.rlike("|".join(patterns))
+
+
+def with_package_and_name(df: DataFrame) -> DataFrame:
+    """``df`` (``lang``, ``function_name``, ``source_file``) with ``package`` and ``name`` as the language writes them: none and
+    the name without blanks for C and C++; the file, or what stands before the point of a builtin, for Python; what stands in
+    brackets before the last point for the JVM, ``default`` without any. Other languages have neither."""
+    n = F.col("function_name")
+    builtin = n.startswith("<builtin>.")
+    plain = F.substring_index(n, "(", 1)
+    package = F.when(F.col("lang") == "c-cpp", "").when(F.col("lang") == "python", F.when(builtin, "<builtin>").otherwise(F.col("source_file"))).when(F.col("lang") == "jvm", F.when(plain.contains("."), F.expr("substring(%s, 2, length(%s) - 2)" % (("regexp_extract(substring_index(function_name, '(', 1), '^(.*)[.][^.]*$', 1)",) * 2))).otherwise("default"))
+    name = F.when(F.col("lang") == "c-cpp", F.replace(n, F.lit(" "), F.lit(""))).when(F.col("lang") == "python", F.when(builtin, F.regexp_replace(n, r"^<builtin>\.", "")).otherwise(n)).when(F.col("lang") == "jvm", F.element_at(F.split(plain, r"\."), -1))
+    return df.withColumn("package", package).withColumn("name", name)
+
 
 def blocked_callee(name: Column) -> Column:
     return name.rlike(BLOCKED_CALLEES)

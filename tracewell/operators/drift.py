@@ -1,9 +1,8 @@
 """Schemas that drift between the files of one sequence.
 
 1. The valid delivery of each record is stored once; profile and exact check read it.
-2. Each (file, field) is profiled in Arrow batches, partial profiles being merged afterwards: counts, types and a value
-   sketch (the least record key in each of ``SKETCH`` buckets with the hash of its value, so that sketches of two fields
-   sample the same records).
+2. Each (file, field) is profiled by expressions: counts, types and a value sketch (the least record key in each of
+   ``SKETCH`` buckets with the hash of its value, so that sketches of two fields sample the same records).
 3. Of each two consecutive files, fields that go are matched with fields that come. An edge needs sketches that agree, and
    then equal values for all records that have both, which is checked exactly. Where a field has several edges, an
    assignment of greatest weight (records in common, then likeness of names) decides.
@@ -13,12 +12,10 @@
 from __future__ import annotations
 
 import difflib
-import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import stored
@@ -28,33 +25,24 @@ SKETCH = 8
 NESTED = "JavaMethodInfo"
 
 
-def _kind(x) -> str | None:
-    if x is None:
-        return None
-    return {bool: "boolean", int: "integer", float: "decimal", str: "string", list: "array", dict: "object"}[type(x)]
+#: Kinds of values by bit.
+KINDS = ("integer", "decimal", "string", "boolean", "array", "object")
+_END = "__end_of_payload"
 
 
-def _refuse(name: str):
-    raise ValueError(name)
+def valid_json(payload: Column) -> Column:
+    """The payload as a variant; null if it is no valid JSON value (cut off, followed by more, NaN, or with a name twice in one
+    object). The parser stops after the first value, so the payload is read inside another one that has to end as well."""
+    whole = F.try_parse_json(F.concat(F.lit('{"p":'), payload, F.lit(f',"{_END}":0}}')))
+    return F.when(F.try_variant_get(whole, f"$.{_END}", "int") == 0, F.try_variant_get(whole, "$.p", "variant"))
 
 
-def parse_object(text: str | None) -> dict | None:
-    """The object in ``text``; None if it is no valid JSON object (NaN and Infinity are not valid JSON)."""
-    if text is None:
-        return None
-    try:
-        got = json.loads(text, parse_constant=_refuse)
-    except (ValueError, RecursionError):
-        return None
-    return got if isinstance(got, dict) else None
-
-
-def canonical(x) -> str:
-    return json.dumps(x, sort_keys=True, separators=(",", ":"))
-
-
-def _printable(name: str) -> str:
-    return name.encode("utf-8", "replace").decode()
+def kind_of(value: Column) -> Column:
+    """Number of the value's kind in ``KINDS``; null for null. Numbers written with a point or an exponent are decimals, and
+    whole numbers of any length integers."""
+    t = F.schema_of_variant(value)
+    number = F.when(t == "BIGINT", 0).when(t == "STRING", 2).when(t == "BOOLEAN", 3).when(t.startswith("ARRAY"), 4).when(t.startswith("OBJECT"), 5)
+    return number.when(t.rlike(r"^DECIMAL\((19|[23]\d),0\)$"), 0).when(t.startswith("DECIMAL") | t.isin("DOUBLE", "FLOAT"), 1)
 
 
 def valid_records(raw: DataFrame) -> DataFrame:
@@ -73,90 +61,45 @@ def stored_records(raw: DataFrame) -> DataFrame:
     return stored(rows.select(F.col("project_name").alias("seq_name"), "file_id", F.unix_micros(F.col("written_at").cast("timestamp")).alias("written_us"), "payload"))
 
 
-def _hash(text: str) -> int:
-    h = xxhash.xxh64_intdigest(text)
-    return h - (1 << 64) if h >> 63 else h
-
-
-def _value_text(x) -> str:
-    """Text that is equal for equal values only."""
-    return f"{type(x).__name__}:{x!r}" if isinstance(x, (str, int, float)) else canonical(x)
-
-
-def _record_key(record: dict, key: str) -> str | None:
-    rec = record.get(key)
-    return None if rec is None else _printable(rec) if isinstance(rec, str) else canonical(rec)
+def parsed(records: DataFrame, key: str) -> DataFrame:
+    """``records`` with ``v`` (the payload as a variant) and ``rec`` (text of the record's key) for the payload, without what is
+    no valid JSON. Not to be stored: files may keep the numbers of a column in one type, which loses how they were written."""
+    rows = records.withColumn("v", valid_json(F.col("payload"))).filter("v is not null")
+    return rows.withColumn("rec", F.try_variant_get("v", f"$.{key}", "string")).drop("payload")
 
 
-_PART = "seq_name string, file_id long, written_us long, parent string, field string, n long, n_values long, kinds array<string>, sketch array<struct<h: long, v: long>>"
-
-
-def _profile(key: str):
-    """Partial profiles of the fields in a batch of records: top-level ones and the members of objects."""
-    sketch = pa.list_(pa.struct([("h", pa.int64()), ("v", pa.int64())]))
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()), sketch]
-    names = ["seq_name", "file_id", "written_us", "parent", "field", "n", "n_values", "kinds", "sketch"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen: dict[tuple, list] = {}
-            for seq, file_id, at, payload in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if (record := parse_object(payload)) is None:
-                    continue
-                rec = _record_key(record, key)
-                h = None if rec is None else _hash(rec)
-
-                def note(parent: str, name: str, x, file=(seq, file_id, at), h=h):
-                    p = seen.setdefault((*file, parent, _printable(name)), [0, 0, set(), [None] * SKETCH])
-                    p[0] += 1
-                    if x is not None:
-                        p[1] += 1
-                        p[2].add(_kind(x))
-                        if h is not None:
-                            entry, k = (h, _hash(_value_text(x))), h % SKETCH
-                            if p[3][k] is None or entry < p[3][k]:
-                                p[3][k] = entry
-
-                for name, x in record.items():
-                    note("", name, x)
-                    if isinstance(x, dict):
-                        for m, y in x.items():
-                            note(_printable(name), m, y)
-            rows = [(*k, n, v, sorted(t), [None if e is None else {"h": e[0], "v": e[1]} for e in sk]) for k, (n, v, t, sk) in seen.items()]
-            cols = list(zip(*rows, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
-
-    return run
+def fields(records: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of ``parsed`` records and ``parent``, ``field``, ``kind``, ``text`` of each field of each record: top-level ones, and as fields of
+    their parent the members of objects. ``text`` is equal for equal values of one kind only."""
+    spark = records.sparkSession
+    top = records.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).filter("key is not null").select(*columns, F.col("key").alias("k1"), F.col("value").alias("v1"), kind_of(F.col("value")).alias("kind1"))
+    both = top.withColumn("o", F.when(F.col("kind1") == KINDS.index("object"), F.col("v1")))
+    inner = both.lateralJoin(spark.tvf.variant_explode_outer(F.col("o").outer())).select(*columns, "k1", "v1", "kind1", F.col("pos").alias("at"), F.col("key").alias("k2"), F.col("value").alias("v2"))
+    own = F.when(F.col("at").isNull() | (F.col("at") == 0), F.col("k1"))
+    told = F.array(F.struct(F.lit("").alias("parent"), own.alias("field"), F.col("kind1").alias("kind"), F.col("v1").cast("string").alias("text")), F.struct(F.col("k1").alias("parent"), F.col("k2").alias("field"), kind_of(F.col("v2")).alias("kind"), F.col("v2").cast("string").alias("text")))
+    return inner.select(*columns, F.inline(told)).filter("field is not null")
 
 
 def profiles(records: DataFrame, key: str = "functionName") -> DataFrame:
-    """One row per (file, parent, field): ``n``, ``n_values``, ``kinds`` (sorted), ``sketch`` (record and value hash of each bucket)."""
-    part = records.mapInArrow(_profile(key), _PART)
-    least = [F.min(F.get("sketch", F.lit(i))).alias(f"s{i}") for i in range(SKETCH)]
-    merged = part.groupBy("seq_name", "file_id", "written_us", "parent", "field").agg(F.sum("n").alias("n"), F.sum("n_values").alias("n_values"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("kinds")))).alias("kinds"), *least)
-    return merged.withColumn("sketch", F.array_compact(F.array(*[f"s{i}" for i in range(SKETCH)]))).drop(*[f"s{i}" for i in range(SKETCH)])
-
-
-def _values(key: str):
-    """Values of the wanted fields of each record; batches of (file_id, payload, [(parent, field)])."""
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for file_id, payload, wanted in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if (record := parse_object(payload)) is None or (rec := _record_key(record, key)) is None:
-                    continue
-                own = {_printable(k): v for k, v in record.items()}
-                for w in wanted:
-                    inside = own if w["parent"] == "" else {_printable(k): v for k, v in own[w["parent"]].items()} if isinstance(own.get(w["parent"]), dict) else {}
-                    x = inside.get(w["field"])
-                    if x is not None:
-                        out.append((file_id, w["parent"], w["field"], rec, canonical(x)))
-            cols = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["file_id", "parent", "field", "rec", "value"])
-
-    return run
+    """One row per (file, parent, field): ``n``, ``n_values``, ``kinds`` (sorted), ``sketch``: for each of ``SKETCH`` buckets of
+    record keys the least key with its value, 32 bits of the hash of either in one number. Everything is a fixed number of
+    longs, so partial profiles merge in hash maps."""
+    h, value = F.xxhash64("rec"), F.xxhash64("kind", "text")
+    entry = F.shiftleft(F.shiftright(h, 32), 32).bitwiseOR(value.bitwiseAND(F.lit(0xFFFFFFFF)))
+    told = F.when(F.col("kind").isNotNull() & F.col("rec").isNotNull(), entry)
+    rows = fields(parsed(records, key), ["seq_name", "file_id", "written_us", "rec"]).select("seq_name", "file_id", "written_us", "parent", "field", F.expr("shiftleft(1L, kind)").alias("bit"), F.pmod(h, F.lit(SKETCH)).alias("bucket"), told.alias("entry"))
+    least = [F.min(F.when(F.col("bucket") == i, F.col("entry"))).alias(f"s{i}") for i in range(SKETCH)]
+    merged = rows.groupBy("seq_name", "file_id", "written_us", "parent", "field").agg(F.count(F.lit(1)).alias("n"), F.count("bit").alias("n_values"), F.coalesce(F.bit_or("bit"), F.lit(0)).alias("mask"), *least)
+    kinds = F.array_sort(F.array_compact(F.array(*[F.when(F.col("mask").bitwiseAND(F.lit(1 << i)) != 0, F.lit(k)) for i, k in enumerate(KINDS)])))
+    return merged.select("seq_name", "file_id", "written_us", "parent", "field", "n", "n_values", kinds.alias("kinds"), F.array(*[f"s{i}" for i in range(SKETCH)]).alias("sketch"))
+
+
+def wanted_values(records: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``file_id``, ``parent``, ``field``, ``rec``, ``value`` of the fields in ``wanted`` (``file_id``, ``wanted``: their parents
+    and names); records without a key and null values are left out."""
+    asked = parsed(records.join(wanted, "file_id"), key).filter("rec is not null")
+    rows = fields(asked, ["file_id", "rec", "wanted"]).filter("kind is not null").filter(F.array_contains("wanted", F.struct("parent", "field")))
+    return rows.select("file_id", "parent", "field", "rec", F.concat_ws(":", "kind", "text").alias("value"))
 
 
 def file_pairs(rows: DataFrame) -> DataFrame:
@@ -232,15 +175,18 @@ def _changes(records: DataFrame, profile: DataFrame, pairs: DataFrame, key_name:
     met = stored(met.filter("kinds_a is null or kinds_b is null or kinds_a <> kinds_b"))
     kept = met.filter("kinds_a is not null and kinds_b is not null")
     retyped = kept.filter((F.size("kinds_a") > 0) & (F.size("kinds_b") > 0)).select("seq_name", "file_b", "parent", F.lit("retyped").alias("kind"), F.col("field").alias("going"), F.lit(None).cast("string").alias("coming"))
-    going = met.filter("kinds_b is null").select(*key, F.col("field").alias("going"), "sketch_a")
-    coming = met.filter("kinds_a is null").select(*key, F.col("field").alias("coming"), "sketch_b")
-    # Both sides of this join are the few fields of one file that changed, never rows: a table of weights to be matched.
-    clash = lambda x: F.exists("sketch_b", lambda y: (y["h"] == x["h"]) & (y["v"] != x["v"]))
-    may = going.join(coming, key).filter(~F.exists("sketch_a", clash)).select(*key, "going", "coming")
-    may = stored(may)
+    going = met.filter("kinds_b is null").select(*key, F.col("field").alias("going"), "sketch_a", "kinds_a")
+    coming = met.filter("kinds_a is null").select(*key, F.col("field").alias("coming"), "sketch_b", "kinds_b")
+    # Fields of a rename have a kind of value in common, so they meet by equality of kinds. Buckets with the same record on both
+    # sides and another value speak against it; a single one could be two records whose 32 bits agree, and is checked below.
+    by_kind = lambda side, k, s: side.select(*key, k, F.col(s), F.explode(f"kinds_{s[-1]}").alias("kind"))
+    met_ab = by_kind(going, "going", "sketch_a").join(by_kind(coming, "coming", "sketch_b"), [*key, "kind"]).dropDuplicates([*key, "going", "coming"])
+    record = lambda x: F.shiftright(x, 32)
+    clash = F.filter(F.arrays_zip("sketch_a", "sketch_b"), lambda z: (record(z["sketch_a"]) == record(z["sketch_b"])) & (z["sketch_a"] != z["sketch_b"]))
+    may = stored(met_ab.filter(F.size(clash) <= 1).select(*key, "going", "coming"))
     asked = may.select(F.col("file_a").alias("file_id"), "parent", F.col("going").alias("field")).unionByName(may.select(F.col("file_b").alias("file_id"), "parent", F.col("coming").alias("field")))
     wanted = asked.groupBy("file_id").agg(F.collect_set(F.struct("parent", "field")).alias("wanted"))  # the few changed fields of a file
-    values = records.select("file_id", "payload").join(wanted, "file_id").select("file_id", "payload", "wanted").mapInArrow(_values(key_name), "file_id long, parent string, field string, rec string, value string")
+    values = wanted_values(records, wanted, key_name)
     each = stored(values.groupBy("file_id", "parent", "field", "rec").agg(F.min("value").alias("lo"), F.max("value").alias("hi")))
     one = lambda tag, name: each.select(F.col("file_id").alias(f"file_{tag}"), "parent", F.col("field").alias(name), "rec", F.col("lo").alias(f"lo_{tag}"), F.col("hi").alias(f"hi_{tag}"))
     both = may.join(one("a", "going"), ["file_a", "parent", "going"]).join(one("b", "coming"), ["file_b", "parent", "coming", "rec"])
@@ -266,7 +212,7 @@ def aliases(renames: DataFrame, name: str = NESTED) -> DataFrame:
             for seq, edges in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
                 known, grown = {name}, True
                 while grown:
-                    more = {e["coming"] for e in edges if e["going"] in known} - known
+                    more = ({e["coming"] for e in edges if e["going"] in known} | {e["going"] for e in edges if e["coming"] in known}) - known
                     known, grown = known | more, bool(more)
                 seqs += [seq] * len(known - {name})
                 names += sorted(known - {name})
@@ -328,36 +274,12 @@ def canonical_names(changes: DataFrame, profile: DataFrame) -> DataFrame:
     return line.mapInArrow(run, "project_name string, file_id long, field string, canonical string")
 
 
-_UNIFIED = "project_name string, file_id long, function_name string, column_name string, field_name string, column_type string, json_value string"
-
-
-def _unify(key: str):
-    kinds = [pa.string(), pa.int64(), *[pa.string()] * 5]
-    names = [c.split(" ")[0] for c in _UNIFIED.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for seq, file_id, payload, columns in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if (record := parse_object(payload)) is None:
-                    continue
-                rec, own = _record_key(record, key), {_printable(k): v for k, v in record.items()}
-                for c in columns:
-                    if c["field"] in own:
-                        x = own[c["field"]]
-                        out.append((seq, file_id, rec, c["canonical"], c["field"], c["column_type"], None if x is None else canonical(x)))
-            cols = list(zip(*out, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
-
-    return run
-
-
 def unified_records(raw: DataFrame, nested: str = NESTED, key: str = "functionName") -> DataFrame:
     """All records in one consistent table: each top-level field of each valid record under its canonical name, with its
     value as JSON text and the type that the column has over all files (integer and decimal give decimal, other mixtures
     string; null if no file has a value).
 
-    Names and types come from changes and profiles; each file gets its few columns by one join, and records are parsed once.
+    Names and types come from changes and profiles; records are parsed once, and fields meet their column by one join.
     """
     changes, records, profile = schema_changes(raw, nested, key)
     names = stored(canonical_names(stored(changes), profile))
@@ -365,5 +287,6 @@ def unified_records(raw: DataFrame, nested: str = NESTED, key: str = "functionNa
     kinds = names.join(top, ["project_name", "file_id", "field"]).select("canonical", F.explode("kinds").alias("k")).groupBy("canonical").agg(F.collect_set("k").alias("k"))
     kind = F.when(F.size("k") == 1, F.element_at("k", 1)).when(F.size(F.array_except("k", F.array(F.lit("integer"), F.lit("decimal")))) == 0, "decimal").otherwise("string")
     columns = names.join(kinds.select("canonical", kind.alias("column_type")), "canonical", "left")
-    by_file = columns.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("field", "canonical", "column_type"))).alias("columns"))
-    return records.join(by_file, "file_id").select("seq_name", "file_id", "payload", "columns").mapInArrow(_unify(key), _UNIFIED)
+    wanted = columns.select("file_id", F.col("field").alias("k"), "canonical", "column_type")
+    top = parsed(records, key).lateralJoin(raw.sparkSession.tvf.variant_explode(F.col("v").outer())).filter("key is not null").select("seq_name", "file_id", "rec", F.col("key").alias("k"), F.when(kind_of(F.col("value")).isNotNull(), F.to_json("value")).alias("json_value"))
+    return top.join(wanted, ["file_id", "k"]).select(F.col("seq_name").alias("project_name"), "file_id", F.col("rec").alias("function_name"), F.col("canonical").alias("column_name"), F.col("k").alias("field_name"), "column_type", "json_value")

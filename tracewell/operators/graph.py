@@ -183,3 +183,51 @@ def per_project(fn, schema: str):
         yield pack(out)
 
     return run
+
+
+def reached(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """Distinct ``node`` reachable from any of ``starts`` (column ``node``), these among them; one row a node, whatever the
+    number of starts."""
+    links = stored(edges.select(F.col("src").alias("at"), F.col("dst").alias("node")).dropna().distinct())
+    front = stored(starts.select("node").dropna().distinct())
+    seen, rounds = front, 1
+    while not front.isEmpty():
+        step = front.withColumnRenamed("node", "at").join(links, "at").select("node").distinct()
+        front = stored(step.join(seen, "node", "left_anti"))
+        seen, rounds = seen.unionByName(front), rounds + 1
+        if rounds % 8 == 0:
+            seen = stored(seen.coalesce(shuffle_parts(edges.sparkSession)))
+    return seen
+
+
+def merge_polymorphic(edges: DataFrame) -> DataFrame:
+    """Calls (``src``, ``line``, ``callee``, ``class``, ``goes_on``) of one name at one line of a caller to methods that call
+    nothing further as one row, ``classes`` being their classes in order, joined by colons. Constructors and methods that call
+    on stay as they are."""
+    alone = F.col("goes_on") | F.col("callee").isin("<init>", "<cinit>")
+    kept = edges.filter(alone).select("src", "line", "callee", F.col("class").alias("classes"))
+    merged = edges.filter(~alone).groupBy("src", "line", "callee").agg(F.array_join(F.sort_array(F.collect_set("class")), ":").alias("classes"))
+    return kept.unionByName(merged)
+
+
+def calltree_by_place(calls: DataFrame, entry: str) -> DataFrame:
+    """Call tree below ``entry`` of one module's calls (``src``, ``dst``, ``file``, ``line``), in pre-order: ``idx``,
+    ``depth``, ``name``, ``file``, ``line``. A node is a name at a place; each is entered once."""
+    packed = calls.groupBy(F.lit(entry).alias("entry")).agg(F.sort_array(F.collect_list(F.struct("src", "line", "dst", "file"))).alias("rows"))
+
+    def walk(rows):
+        at: dict[str, list[tuple]] = {}
+        for r in rows:
+            at.setdefault(r["src"], []).append((r["dst"], r["file"], r["line"]))
+        seen, stack, n = set(), [(0, (entry, "", -1))], 0
+        while stack:
+            depth, node = stack.pop()
+            if node in seen:
+                continue
+            seen.add(node)
+            yield (n, depth, *node)
+            n += 1
+            stack += [(depth + 1, c) for c in reversed(at.get(node[0], []))]
+
+    schema = "entry string, idx int, depth int, name string, file string, line int"
+    return packed.mapInArrow(per_project(walk, schema), schema)

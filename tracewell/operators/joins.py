@@ -64,6 +64,15 @@ def merge_positional(coverage: DataFrame, order: str, func: str, pos: str, line:
     return seen.groupBy(func, pos).agg(F.min("__line").alias(line), F.max(hits).alias(hits), F.max((F.col(line) != F.col("__line")).cast("int")).alias("__off")).filter("__off = 0").drop("__off")
 
 
+def suffix_join(long: DataFrame, key: str, short: DataFrame, short_key: str) -> DataFrame:
+    """Rows of both sides where ``key`` ends with ``short_key``: all endings of the distinct keys, joined by equality.
+    Null and empty ``short_key`` match nothing."""
+    ends = long.select(key).distinct().filter(F.length(key) > 0).select(key, F.explode(F.sequence(F.lit(1), F.length(key))).alias("__i")).select(key, F.expr(f"substring(`{key}`, __i)").alias("__end"))
+    lengths = short.select(F.length(short_key).alias("__n")).distinct()
+    asked = ends.withColumn("__n", F.length("__end")).join(lengths, "__n", "left_semi").drop("__n")  # endings of lengths that occur
+    return short.join(asked, short[short_key] == asked["__end"]).drop("__end").join(long, key)
+
+
 def branch_blockers(coverage: DataFrame, sides: DataFrame, hit_lines: DataFrame, key: list[str]) -> DataFrame:
     """Sides of branches that are never taken while another side of the branch is.
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import parents_from_depth
+from ..operators.joins import suffix_join
 
 _TYPES = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
 
@@ -118,6 +119,19 @@ def coverage_report(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return last.filter("kind = 'line'").select("func", "pos", "line", F.get("hits", 0).alias("hits")), last.filter("kind = 'branch'").select("func", "line", "col", "hits")
 
 
+def reports_of_targets(files: DataFrame, targets: DataFrame) -> DataFrame:
+    """Lines (as in ``coverage_report``) of each ``target``: of the report that bears its name, of all reports if none does.
+    Of a function in several reports the last in file order holds."""
+    rows = parsed(files, _covreport, "func string, kind string, pos int, line int, col int, hits array<long>").filter("kind = 'line'")
+    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+    named = files.select("path", stem.alias("target"))
+    own = targets.join(named, "target")
+    rest = targets.join(named.select("target"), "target", "left_anti").crossJoin(files.select("path"))  # targets without a report of their own read all reports
+    read = own.select("target", "path").unionByName(rest.select("target", "path")).join(rows, "path")
+    last = read.withColumn("keep", F.max("path").over(Window.partitionBy("target", "func"))).filter("path = keep")
+    return last.select("target", "func", "pos", "line", F.get("hits", 0).alias("hits"))
+
+
 def python_coverage(files: DataFrame) -> DataFrame:
     """JSON coverage: ``file``, ``line``, ``executed``; leading mount folders are cut, broken files give no rows."""
     kind = "struct<files: map<string, struct<executed_lines: array<int>, missing_lines: array<int>>>>"
@@ -135,6 +149,16 @@ def go_coverage(files: DataFrame) -> DataFrame:
     return spans.filter("a <= b").select("file", F.explode(F.sequence("a", "b")).alias("line"), "hits").groupBy("file", "line").agg(F.max("hits").alias("hits"))
 
 
+def go_functions(lines: DataFrame, functions: DataFrame) -> DataFrame:
+    """``func``, ``line``, ``hits`` of functions (``func``, ``file``, ``b``, ``e``) from coverage files whose path ends with
+    theirs; lines without a count have 0, functions without places or files none."""
+    placed = functions.filter("b > 0 and e > 0").withColumn("file", F.element_at(F.split("file", "/source-files"), -1))
+    paths = lines.select(F.col("file").alias("path")).distinct()
+    met = suffix_join(paths, "path", placed.withColumnRenamed("file", "tail"), "tail")
+    asked = met.select("func", "path", F.explode(F.sequence("b", "e")).alias("line"))
+    return asked.join(lines.withColumnRenamed("file", "path"), ["path", "line"], "left").select("func", "line", F.coalesce("hits", F.lit(0)).alias("hits"))
+
+
 def jacoco(spark: SparkSession, path: str) -> DataFrame:
     """JaCoCo XML: ``func``, ``line``, ``hits`` (covered instructions of the line). A method's lines are as many lines of
     its source file as its LINE counter has, from its first line on."""
