@@ -52,20 +52,20 @@ All functions:
 """
 
 
-@query("", "values ('parse_one', '/src/h.cc', 10, -1, 0, 2), ('next_one', '/src/h.cc', 30, 44, 7, -1) t(function_name, harness, line_from, line_to, cc, reached)")
+@query("", "from (values ('parse_one', '/src/h.cc', 10, -1, 0, 2), ('next_one', '/src/h.cc', 30, 44, 7, -1)) t(function_name, harness, line_from, line_to, cc, reached)")
 def s2_fact_files(t):
     """Function facts of a YAML file; a missing end is -1, a missing complexity 0."""
     rows = reports.function_facts(files(t, ("a.yaml", _FACTS), ("b.yaml", "not: [valid")))
     return rows.select(F.col("functionName").alias("function_name"), "harness", F.col("functionLinenumber").alias("line_from"), F.col("functionLinenumberEnd").alias("line_to"), F.col("CyclomaticComplexity").alias("cc"), F.coalesce(F.size("functionsReached"), F.lit(-1)).alias("reached"))
 
 
-@query("", "values ('parse_one', 'next_one', '/src/p.c', 12) t(src_func, dst_func, src_file, line)")
+@query("", "from (values ('parse_one', 'next_one', '/src/p.c', 12)) t(src_func, dst_func, src_file, line)")
 def s2_callsite_map(t):
     """Call sites of facts; what is no file, line and column is left out."""
     return reports.callsite_map(reports.function_facts(files(t, ("a.yaml", _FACTS))))
 
 
-@query("", "values ('/o/fuzzerLogFile-a.data', '/o/fuzzerLogFile-a.data.yaml'), ('/o/j/targetCalltree.txt', '/o/j/report.yaml') t(tree, facts)")
+@query("", "from (values ('/o/fuzzerLogFile-a.data', '/o/fuzzerLogFile-a.data.yaml'), ('/o/j/targetCalltree.txt', '/o/j/report.yaml')) t(tree, facts)")
 def s3_profile_pairs(t):
     """Call-tree files with the fact files beside them."""
     names = ("/o/fuzzerLogFile-a.data", "/o/fuzzerLogFile-a.data.yaml", "/o/fuzzerLogFile-b.data", "/o/j/targetCalltree.txt", "/o/j/report.yaml", "/o/readme.txt")
@@ -97,20 +97,20 @@ second:
 """
 
 
-@query("", "values ('first', 0, 10, 4680), ('first', 1, 11, 4680), ('first', 2, 12, 0), ('first', 3, 14, 36000000), ('first', 4, 15, 2), ('first', 5, 16, 3), ('second', 0, 1, 7) t(func, pos, line, hits)")
+@query("", "from (values ('first', 0, 10, 4680), ('first', 1, 11, 4680), ('first', 2, 12, 0), ('first', 3, 14, 36000000), ('first', 4, 15, 2), ('first', 5, 16, 3), ('second', 0, 1, 7)) t(func, pos, line, hits)")
 def s4_coverage_lines(t):
     """Lines with a count of a text coverage report."""
     return reports.coverage_report(files(t, ("/c/a.covreport", _REPORT)))[0].select("func", "pos", "line", "hits")
 
 
-@query("", "values ('first', 11, 7, '0,4680'), ('first', 14, 11, '12,0,2,3') t(func, line, col, hits)")
+@query("", "from (values ('first', 11, 7, '0,4680'), ('first', 14, 11, '12,0,2,3')) t(func, line, col, hits)")
 def s4_coverage_branches(t):
     """Branches of a text coverage report; cases fold into their switch."""
     rows = reports.coverage_report(files(t, ("/c/a.covreport", _REPORT)))[1]
     return rows.select("func", "line", "col", F.array_join(F.col("hits").cast("array<string>"), ",").alias("hits"))
 
 
-@query("", "values ('one', 'a', 1), ('one', 'b', 0), ('two', 'a', 1), ('two', 'b', 5) t(target, func, hits)")
+@query("", "from (values ('one', 'a', 1), ('one', 'b', 0), ('two', 'a', 1), ('two', 'b', 5)) t(target, func, hits)")
 def s4_report_of_target(t):
     """Lines of each target's own report, of all reports for a target without one."""
     found = files(t, ("/c/one.covreport", "a:\n  1|  1|x\nb:\n  2|  0|y\n"), ("/c/three.covreport", "b:\n  2|  5|y\n"))
@@ -118,7 +118,7 @@ def s4_report_of_target(t):
     return rows.select("target", "func", "hits")
 
 
-@query("", "values ('/src/m.py', 1, true), ('/src/m.py', 2, false) t(file, line, executed)")
+@query("", "from (values ('/src/m.py', 1, true), ('/src/m.py', 2, false)) t(file, line, executed)")
 def s5_python_coverage(t):
     """Lines run and not run of JSON coverage, without the folders it was taken in."""
     return reports.python_coverage(files(t, ("/c/all_cov.json", '{"files": {"/pythoncovmergedfiles/medio/src/m.py": {"executed_lines": [1], "missing_lines": [2]}}}'), ("/c/bad.json", "{")))
@@ -127,13 +127,13 @@ def s5_python_coverage(t):
 _GO = "mode: set\npkg/t.go:18.67,20.27 2 1\npkg/t.go:20.28,21.32 2 0\n"
 
 
-@query("", "values ('pkg/t.go', 18, 1), ('pkg/t.go', 19, 1), ('pkg/t.go', 20, 1), ('pkg/t.go', 21, 0) t(file, line, hits)")
+@query("", "from (values ('pkg/t.go', 18, 1), ('pkg/t.go', 19, 1), ('pkg/t.go', 20, 1), ('pkg/t.go', 21, 0)) t(file, line, hits)")
 def s6_go_lines(t):
     """Ranges of statements spread over their lines, the greatest count kept."""
     return reports.go_coverage(files(t, ("/c/fuzz.cov", _GO)))
 
 
-@query("", "values ('F', 19, 1), ('F', 20, 1), ('F', 21, 0), ('F', 22, 0), ('G', 1, 0) t(func, line, hits)")
+@query("", "from (values ('F', 19, 1), ('F', 20, 1), ('F', 21, 0), ('F', 22, 0), ('G', 1, 0)) t(func, line, hits)")
 def s6_go_functions(t):
     """Lines of functions from the coverage files whose path ends with theirs; lines without a count have none."""
     functions = t.spark.createDataFrame([("F", "/t.go", 19, 22), ("G", "t.go", 1, 1), ("H", "other.go", 1, 3), ("N", "t.go", -1, 2)], "func string, file string, b int, e int")
@@ -143,7 +143,7 @@ def s6_go_functions(t):
 _JACOCO = '<report name="r"><package name="p"><class name="p/K" sourcefilename="K.java"><method name="run" desc="(Ljava/lang/String;[I)V" line="3"><counter type="LINE" missed="1" covered="1"/></method></class><sourcefile name="K.java"><line nr="3" mi="0" ci="4"/><line nr="5" mi="2" ci="0"/><line nr="9" mi="0" ci="1"/></sourcefile></package></report>'
 
 
-@query("", "values ('[p.K].run(String[],int)', 3, 4), ('[p.K].run(String[],int)', 5, 0) t(func, line, hits)")
+@query("", "from (values ('[p.K].run(String[],int)', 3, 4), ('[p.K].run(String[],int)', 5, 0)) t(func, line, hits)")
 def s7_jacoco(t):
     """Methods of a JaCoCo file with the counts of their lines; array marks stand on the argument before, as in older keys."""
     at = folder(t)
@@ -151,7 +151,7 @@ def s7_jacoco(t):
     return reports.jacoco(t.spark, at)
 
 
-@query("", "values ('/p/private/k.c', 4), ('/p/private/k.c', 6) t(file, line)")
+@query("", "from (values ('/p/private/k.c', 4), ('/p/private/k.c', 6)) t(file, line)")
 def s8_kernel_coverage(t):
     return reports.kernel_coverage(files(t, ("/k.json", '[{"Filename": "/p/private/k.c", "Covered": [4, 6]}, {"Filename": "/p/u.c", "Covered": [1]}]')))
 
@@ -169,7 +169,7 @@ Type: Name: DW_TAG_structure_type { newer } from /src/p/a.h:3 size
 """
 
 
-@query("", "values ('unit', '/src/p/a.c', 'DW_LANG_C99', ''), ('unit', '/src/p/b.c', 'DW_LANG_C99', ''), ('global', '/src/p/a.c:7', 'table', ''), ('global', '/src/p/b.c:-1', 'lone', ''), ('struct', '/src/p/a.h:3', 'newer', ''), ('typedef', '/usr/s.h:9', 'size_t', '') t(kind, place, name, elements)")
+@query("", "from (values ('unit', '/src/p/a.c', 'DW_LANG_C99', ''), ('unit', '/src/p/b.c', 'DW_LANG_C99', ''), ('global', '/src/p/a.c:7', 'table', ''), ('global', '/src/p/b.c:-1', 'lone', ''), ('struct', '/src/p/a.h:3', 'newer', ''), ('typedef', '/usr/s.h:9', 'size_t', '')) t(kind, place, name, elements)")
 def s9_debug_texts(t):
     """Compile units, global variables and types of debug texts."""
     f = files(t, ("d1", _DEBUG))
@@ -180,13 +180,13 @@ def s9_debug_texts(t):
     return units.unionByName(variables).unionByName(types)
 
 
-@query("", "values ('struct', 'point', 'x,y'), ('typedef', 'size_t', '') t(kind, name, elements)")
+@query("", "from (values ('struct', 'point', 'x,y'), ('typedef', 'size_t', '')) t(kind, name, elements)")
 def s9_struct_elements(t):
     f = files(t, ("d1", "\n".join(_DEBUG.split("\n")[:-2])))
     return debug.debug_types(f).select("kind", "name", F.array_join("elements", ",").alias("elements"))
 
 
-@query("", "values (1, 'a', ''), (3, 'c', '/x:1'), (4, 'bool', ' ') t(pos, name, file_location)")
+@query("", "from (values (1, 'a', ''), (3, 'c', '/x:1'), (4, 'bool', ' ')) t(pos, name, file_location)")
 def s10_debug_functions(t):
     """Debug functions once a location, the last one held, with the plain name of the boolean type."""
     rows = t.spark.createDataFrame([(1, "a", ""), (2, "b", "/x:1"), (3, "c", "/x:1"), (4, "_Bool", " ")], "pos int, name string, file_location string")
@@ -196,24 +196,24 @@ def s10_debug_functions(t):
 _BUGS = '{"bugs": [{"source_file": "a.c", "source_line": "3", "function_name": "f", "fuzzer_name": "h", "description": "d", "bug_type": "overflow"}, {"source_file": "b.c"}]}'
 
 
-@query("", "values ('a.c', '3', 'f', 'h', 'd', 'overflow') t(source_file, source_line, function_name, fuzzer_name, description, bug_type)")
+@query("", "from (values ('a.c', '3', 'f', 'h', 'd', 'overflow')) t(source_file, source_line, function_name, fuzzer_name, description, bug_type)")
 def s11_input_bugs(t):
     return reports.input_bugs(files(t, ("bugs.json", _BUGS), ("bad.json", "[")))
 
 
-@query("", "values ('overflow', 'f') t(bug_type, function_name)")
+@query("", "from (values ('overflow', 'f')) t(bug_type, function_name)")
 def u8_bug_digest(t):
     """Type and function of each bug found."""
     return reports.input_bugs(files(t, ("bugs.json", _BUGS))).select("bug_type", "function_name")
 
 
-@query("", "values ('/out/one', 'fuzzerLogFile-0-abc') t(path, log_file)")
+@query("", "from (values ('/out/one', 'fuzzerLogFile-0-abc')) t(path, log_file)")
 def s12_logs_of_executables(t):
-    blobs = [("/out/one", bytearray(b"\x7fELF\x00short\xfffuzzerLogFile-0-abc\x00fuzzerLogFile-1\x00")), ("/out/two", bytearray(b"\x00nothing_of_note\x00"))]
+    blobs = [("/out/one", bytearray(b"\x7fELF\x00short\x00fuzzerLog\xffFile-0-abc\x00fuzzerLogFile-1\x00")), ("/out/two", bytearray(b"\x00nothing_of_note\x00"))]
     return debug.logs_of_executables(t.spark.createDataFrame(blobs, "path string, content binary"))
 
 
-@query("", "values ('FUNCS_TO_AVOID', '^my_'), ('FILES_TO_AVOID', '^/usr/') t(section, pattern)")
+@query("", "from (values ('FUNCS_TO_AVOID', '^my_'), ('FILES_TO_AVOID', '^/usr/')) t(section, pattern)")
 def s13_exclusions(t):
     return reports.exclusion_lists(files(t, ("conf", "ignored\nFUNCS_TO_AVOID\n^my_\nFILES_TO_AVOID\n^/usr/\n")))
 
@@ -231,7 +231,7 @@ def f15_default_exclusions(t):
 _FEED = '{"projects": [%s]}'
 
 
-@query("", """values ('a', 'true', '11', 'false', 'N/A', 'true', '33'), ('b', 'false', '12', 'N/A', 'N/A', 'N/A', 'N/A'), ('c', 'N/A', 'N/A', 'true', '22', 'N/A', 'N/A') t(project, fuzz, fuzz_log, coverage, coverage_log, report, report_log)""")
+@query("", """from (values ('a', 'true', '11', 'false', 'N/A', 'true', '33'), ('b', 'false', '12', 'N/A', 'N/A', 'N/A', 'N/A'), ('c', 'N/A', 'N/A', 'true', '22', 'N/A', 'N/A')) t(project, fuzz, fuzz_log, coverage, coverage_log, report, report_log)""")
 def s16_build_status(t):
     """Three status feeds, newest build of each, as one row a project."""
     one = lambda *ps: t.spark.createDataFrame([(_FEED % ", ".join(ps),)], "value string")
@@ -239,32 +239,32 @@ def s16_build_status(t):
     return debug.build_status(one(p("a", ("11", "true"), ("10", "false")), p("b", ("12", "false"))), one(p("a"), p("c", ("22", "true"))), one(p("a", ("33", "true"))))
 
 
-@query("", "values ('/p/tests/a.c', true), ('/p/src/b.c', false), ('/p/Examples/c.cc', true), ('/p/src/testing.c', true) t(path, test_file)")
+@query("", "from (values ('/p/tests/a.c', true), ('/p/src/b.c', false), ('/p/Examples/c.cc', true), ('/p/src/testing.c', true)) t(path, test_file)")
 def s17_sources_and_tests(t):
     """Sources of a language outside excluded folders, with those that are tests or samples."""
     paths = files(t, *((x, "") for x in ("/p/tests/a.c", "/p/src/b.c", "/p/Examples/c.cc", "/p/src/testing.c", "/p/build/d.c", "/p/readme.md"))).select("path")
     return debug.of_language(paths, ["c", "cc"], ["build"]).select("path", debug.is_test_path(F.col("path")).alias("test_file"))
 
 
-@query("", "values ('A', 3, 'run', 'X:Y'), ('A', 3, 'deep', 'X'), ('A', 3, 'deep', 'Y'), ('A', 4, 'run', 'X'), ('A', 5, '<init>', 'X'), ('A', 5, '<init>', 'Y') t(src, line, callee, classes)")
+@query("", "from (values ('A', 3, 'run', 'X:Y'), ('A', 3, 'deep', 'X'), ('A', 3, 'deep', 'Y'), ('A', 4, 'run', 'X'), ('A', 5, '<init>', 'X'), ('A', 5, '<init>', 'Y')) t(src, line, callee, classes)")
 def s18m_polymorphic_edges(t):
     """Calls of one name at one line to leaves of several classes as one edge; constructors and callees that call on stay."""
     rows = [("A", 3, "run", "X", False), ("A", 3, "run", "Y", False), ("A", 3, "deep", "X", True), ("A", 3, "deep", "Y", True), ("A", 4, "run", "X", False), ("A", 5, "<init>", "X", False), ("A", 5, "<init>", "Y", False)]
     return graph.merge_polymorphic(t.spark.createDataFrame(rows, "src string, line int, callee string, class string, goes_on boolean"))
 
 
-@query("", "values ('drv.c', 3, 'SET_MODE', 'W', 'struct mode'), ('drv.c', 4, 'GET_ALL', 'R', 'int') t(path, line, name, direction, argument)")
+@query("", "from (values ('drv.c', 3, 'SET_MODE', 'W', 'struct mode'), ('drv.c', 4, 'GET_ALL', 'R', 'int')) t(path, line, name, direction, argument)")
 def s19_ioctls(t):
     return reports.ioctls(files(t, ("drv.c", "// #define OLD _IO('a', 1)\n\n#define SET_MODE _IOW('m', 1, struct mode)\n#define GET_ALL \\\n  _IOR('m', 2, \\\n int)\n")))
 
 
-@query("", "values ('a.c', concat('two', chr(10), 'three', chr(10), '}')) t(path, text)")
+@query("", "from (values ('a.c', concat('two', chr(10), 'three', chr(10), '}'))) t(path, text)")
 def s20_source_slice(t):
     """Lines of a source, up to the closing brace after them."""
     return reports.source_slice(files(t, ("a.c", "one\ntwo\nthree\n}\nfive"), ), 2, 3)
 
 
-@query("", "values ('a.c', true), ('b.c', false), ('c.c', false) t(path, static_function)")
+@query("", "from (values ('a.c', true), ('b.c', false), ('c.c', false)) t(path, static_function)")
 def f19_static_functions(t):
     """Whether the lines before the first one with a brace name a function static."""
     rows = files(t, ("a.c", "static int\nf(void)\n{\n return 1;\n}"), ("b.c", "int f(void)\n{\n static int x;\n}"), ("c.c", "static int f(void) {\n}"))
@@ -275,7 +275,7 @@ def f19_static_functions(t):
 
 
 # Writers ----------------------------------------------------------------------------------------------------------------
-@query("", """values ('h1', '{"calls": 3, "stats": {"x": 1}}'), ('project', '{"stats": {"x": 2}}') t(section, json)""")
+@query("", """from (values ('h1', '{"calls": 3, "stats": {"x": 1}}'), ('project', '{"stats": {"x": 2}}')) t(section, json)""")
 def k1_summary_sections(t):
     """Values by section (harness, project or analysis) and key merged into one object a section, later versions on top."""
     rows = t.spark.createDataFrame([("h1", "stats", '{"x": 1}', 1), ("h1", "calls", "2", 1), ("h1", "calls", "3", 2), ("project", "stats", '{"x": 9}', 1), ("project", "stats", '{"x": 2}', 3)], "section string, key string, value string, version int")
@@ -299,14 +299,14 @@ def k3_blockers_as_json(t):
     return rows.groupBy("project_name").agg(F.count(F.lit(1)).alias("sides"), F.sum("reachable_cc").alias("reachable_cc"))
 
 
-@query("", """values ('h1', '{"dictionary":["k0","k1"],"focus":["f"]}'), ('h2', '{"focus":["g"]}') t(harness, json)""")
+@query("", """from (values ('h1', '{"dictionary":["k0","k1"],"focus":["f"]}'), ('h2', '{"focus":["g"]}')) t(harness, json)""")
 def k5_engine_input(t):
     """Input for engines: lists by harness and key as one object a harness."""
     rows = t.spark.createDataFrame([("h1", "focus", ["f"]), ("h1", "dictionary", ["k0", "k1"]), ("h2", "focus", ["g"]), ("h2", "dictionary", [])], "harness string, key string, values array<string>")
     return sinks.engine_input(rows)
 
 
-@query("", "values ('a', 1), ('b', 2) t(name, n)")
+@query("", "from (values ('a', 1), ('b', 2)) t(name, n)")
 def k10_csv(t):
     """Rows written as CSV and read back."""
     at = folder(t)
@@ -315,9 +315,9 @@ def k10_csv(t):
 
 
 # Names, texts and look-ups ----------------------------------------------------------------------------------------------
-@query("", """values ('pad', '00042'), ('pad', '1234567'), ('cut', '33.33'), ('spaces', 'a|B|f'), ('spaces', ''), ('spaces', '(anonymous namespace)|g'), ('type', 'const struct point *'), ('type', 'int'),
+@query("", """from (values ('pad', '00042'), ('pad', '1234567'), ('cut', '33.33'), ('spaces', 'a|B|f'), ('spaces', ''), ('spaces', '(anonymous namespace)|g'), ('type', 'const struct point *'), ('type', 'int'),
 ('signature', 'void put(char *, const int)'), ('signature', 'N/A'), ('imports', 'import Top;|import a.*;|import a.b.*;|import a.b.C;'), ('cause', 'timeout after 1 seconds'), ('cause', 'all is well'),
-('url', 'https://x/reports-by-target/d/t1/linux'), ('link', 'https://x/src/a.c.html#L12'), ('share', '33.0'), ('share', '0.0'), ('date', '2025-03-31'), ('map', 'a=1,b=3,c=4') t(kind, value)""")
+('url', 'https://x/reports-by-target/d/t1/linux'), ('link', 'https://x/src/a.c.html#L12'), ('share', '33.0'), ('share', '0.0'), ('date', '2025-03-31'), ('map', 'a=1,b=3,c=4')) t(kind, value)""")
 def x1_texts(t):
     """Text and number expressions over literals."""
     one = t.spark.range(1)
@@ -382,7 +382,7 @@ def j3_function_keys(t):
     return direct.unionByName(left.join(best, ["project_name", "function_name"], "left"))
 
 
-@query("", "values ('pkg.mod.fn', '/x/pkg/mod.py'), ('......pkg.sub.fn', '/x/pkg/sub/__init__.py'), ('alone.fn', null) t(name, file)")
+@query("", "from (values ('pkg.mod.fn', '/x/pkg/mod.py'), ('......pkg.sub.fn', '/x/pkg/sub/__init__.py'), ('alone.fn', null)) t(name, file)")
 def j11_module_files(t):
     """Coverage file of a Python function: the first by name that ends with one of the paths its name stands for, else the
     longest package file."""
@@ -431,7 +431,7 @@ COMMAND_SINKS = {
 }
 
 
-@query("", "values ('c-cpp', 'sys tem', ''), ('python', '<builtin>.eval', 'x.py'), ('python', 'system', 'os'), ('jvm', '[java.lang.Runtime].exec(String)', '') t(lang, function_name, source_file)")
+@query("", "from (values ('c-cpp', 'sys tem', ''), ('python', '<builtin>.eval', 'x.py'), ('python', 'system', 'os'), ('jvm', '[java.lang.Runtime].exec(String)', '')) t(lang, function_name, source_file)")
 def f14_sinks_by_package(t):
     """Functions that are sinks, by package and name as each language writes them."""
     sinks_ = t.spark.createDataFrame([("CWE78", lang, p, f) for lang, found in COMMAND_SINKS.items() for p, f in found], "cwe string, lang string, package string, name string")
@@ -502,7 +502,7 @@ def f35_report_functions(t):
 
 
 @query("ff cs", """, k as (select project_name, function_name, function_source_file f, function_linenumber n from ff), x as (select distinct project_name, site_dst d from cs where site_dst is not null)
-select x.project_name, x.d function_name, coalesce(concat('https://cov.example', a.f, '.html#L', a.n), concat('https://cov.example', b.f, '.html#L', b.n), '#') link from x
+select x.project_name, x.d function_name, coalesce('https://cov.example' || a.f || '.html#L' || a.n, 'https://cov.example' || b.f || '.html#L' || b.n, '#') link from x
 left join k a on a.project_name = x.project_name and a.function_name = x.d left join k b on b.project_name = x.project_name and b.function_name = regexp_replace(x.d, '[ \\t\\r\\n]', '', 'g')""")
 def j24_coverage_links(t):
     """Coverage address of each called function by its name, else by the name without blanks; ``#`` for unknown ones."""
@@ -523,14 +523,14 @@ def j25_by_signature(t):
     return rows.join(asked, ["project_name", "signature"], "left_semi").select("project_name", "signature", "function_name", F.array_join("arg_types", "|").alias("arg_types"))
 
 
-@query("", "values ('m', 0, 'a'), ('m', 1, 'b'), ('m', 2, 'b'), ('m', 1, 'c') t(func, depth, name)")
+@query("", "from (values ('m', 0, 'a'), ('m', 1, 'b'), ('m', 2, 'b'), ('m', 1, 'c')) t(func, depth, name)")
 def g14_calltree_by_place(t):
     """Call tree whose nodes are (name, file, line): each is expanded once, other places of the same function are nodes too."""
     rows = t.spark.createDataFrame([("a", "b", "f.c", 3), ("a", "c", "f.c", 4), ("b", "b", "f.c", 9)], "src string, dst string, file string, line int")
     return graph.calltree_by_place(rows, "a").select(F.lit("m").alias("func"), "depth", "name")
 
 
-@query("", "values (1, 'f'), (1, 'g'), (2, 'g') t(block, callee)")
+@query("", "from (values (1, 'f'), (1, 'g'), (2, 'g')) t(block, callee)")
 def g15_block_callees(t):
     """Functions called from a block or from blocks that control flow leads to from it."""
     flow = t.spark.createDataFrame([(1, 2), (2, 3), (3, 2)], "src int, dst int")

@@ -300,7 +300,7 @@ def find_files(spark: SparkSession, path: str, pattern: str = ".*") -> DataFrame
 def pair_profiles(files: DataFrame) -> DataFrame:
     """Call-tree files with their fact files: ``<tree>.yaml`` beside a tree, ``report.yaml`` in the folder of a ``.txt``."""
     trees = files.filter(F.col("path").rlike(r"fuzzerLogFile.*\.data$|fuzzer-calltree-[^/]*$|targetCalltree\.txt$")).select(F.col("path").alias("tree"))
-    wanted = trees.withColumn("path", F.when(F.col("tree").endswith(".txt"), F.regexp_replace("tree", r"[^/]*$", "report.yaml")).otherwise(F.concat("tree", F.lit(".yaml"))))
+    wanted = trees.withColumn("path", F.when(F.col("tree").endswith(".txt"), F.regexp_replace("tree", r"[^/]+$", "report.yaml")).otherwise(F.concat("tree", F.lit(".yaml"))))
     return wanted.join(files.select("path"), "path").select("tree", F.col("path").alias("facts"))
 
 
