@@ -103,11 +103,37 @@ def test_outages():
             if not v:
                 down = True
                 assert not k
-                continue
-            base = median(kept[-15:]) if kept else v
-            down = v < 0.95 * base if down else v < 0.85 * base
-            assert k is not down
-            kept += [v] * k
+            elif not kept:  # no baseline yet: kept, but the outage goes on
+                assert k
+                kept.append(v)
+            else:
+                down = v < (0.95 if down else 0.85) * median(kept[-15:])
+                assert k is not down
+                kept += [v] * k
+    assert S.outage_filter([0, 100, 90, 96]) == [False, True, False, True]
+
+
+def test_first_names(spark):
+    links = [(1, 2, None), (2, 3, None), (3, None, "n"), (4, 5, None), (5, 4, None), (6, 7, None), (None, 1, "x"), (3, None, "n"), (8, 8, None)] + [(100 + i, 101 + i, None) for i in range(150)] + [(250, None, "far")]
+    got = {(r["a"], r["name"], r["hops"]) for r in G.first_names(spark.createDataFrame(links, "a long, b long, name string"), "a", "b", "name").collect()}
+    assert got == {(1, "n", 2), (2, "n", 1), (3, "n", 0), (250, "far", 0)} | {(100 + i, "far", 150 - i) for i in range(150)}
+
+
+def test_suffix_join(spark):
+    long = spark.createDataFrame([("/a/b.c", 1), ("/x/b.c", 2), ("b.c", 3), (None, 4), ("", 5)], "path string, i int")
+    short = spark.createDataFrame([("b.c", "s"), ("/b.c", "t"), ("", "u"), (None, "v"), ("zz", "w")], "tail string, j string")
+    got = sorted((r["i"], r["j"]) for r in J.suffix_join(long, "path", short, "tail").collect())
+    assert got == [(1, "s"), (1, "t"), (2, "s"), (2, "t"), (3, "s")]
+
+
+def test_branch_blockers(spark):
+    coverage = [("f", "b:10,1", 10, [0, 5], False), ("f", "b:20,1", 20, [3, 4, 0, 2], True), ("f", "b:30,1", 30, [0, 0], False), ("f", "b:40,1", 40, [1, 0, 0], False), ("f", "b:50,1", 50, [0, 7], False), ("f", "b:60,1", 60, [7, 0], False)]
+    sides = [("f", b, i, n, 1, 2, 3, 4) for b, ns in (("b:10,1", (11, 12)), ("b:20,1", (21, 22)), ("b:30,1", (31, 32)), ("b:40,1", (41, 42)), ("b:50,1", (49, 51)), ("b:60,1", (61, 62))) for i, n in enumerate(ns)]
+    dc = spark.createDataFrame(coverage, "fn string, branch string, line int, hits array<int>, switched boolean")
+    ds = spark.createDataFrame(sides, "fn string, branch string, side_no int, side_line int, unique_not_covered_cc int, unique_reachable_cc int, not_covered_cc int, reachable_cc int")
+    got = {(r["branch"], r["side_no"], r["side_line"], r["hit_difference"]) for r in J.branch_blockers(dc, ds, spark.createDataFrame([("f", 62)], "fn string, side_line int"), ["fn", "branch"]).collect()}
+    # taken on both sides or none, of another number of sides, before its branch, or on a line that ran: no blocker
+    assert got == {("b:10,1", 0, 11, 5), ("b:20,1", 0, 21, 4)}
 
 
 def test_forward_reds(spark):

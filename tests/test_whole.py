@@ -56,9 +56,8 @@ def test_every_supplier_is_a_harness(spark, many_harnesses):
 @pytest.mark.parametrize("name", ["g10_frontend_reach", "j1_reach_by_harness", "h2_unreached"])
 def test_all_harnesses_agree_with_sql(spark, many_harnesses, name):
     sql = entry.oracle_sql()[name]
-    assert " where s_suppkey < 10)" in sql
     df = entry.queries()[name](spark, many_harnesses)
-    assert compare.rows_of(df.columns, df.collect()) == by_sql(many_harnesses, sql.replace(" where s_suppkey < 10)", ")"))
+    assert compare.rows_of(df.columns, df.collect()) == by_sql(many_harnesses, sql)
 
 
 def keys_of(spark, sf):
@@ -71,7 +70,7 @@ def test_struct_closure_of_every_struct(spark, sf):
     below = {a: set().union(*(brute_reach(edges, y) for x, y in edges if x == a)) for a, _ in edges}
     df = entry.queries()["g18_struct_closure"](spark, sf)
     assert {(r["addr"], r["types"], r["least"]) for r in df.collect()} == {(a, len(b), min(b)) for a, b in below.items()}
-    assert compare.rows_of(df.columns, df.collect()) == by_sql(sf, entry.oracle_sql()["g18_struct_closure"].replace(" where src % 11 = 0 union", " union"))
+    assert compare.rows_of(df.columns, df.collect()) == by_sql(sf, entry.oracle_sql()["g18_struct_closure"])
 
 
 def test_subclasses_below_every_class(spark, sf):
@@ -79,7 +78,7 @@ def test_subclasses_below_every_class(spark, sf):
     below = {a: {c for c in brute_reach(links, a) - {a} if c % 3} for a, _ in links}
     df = entry.queries()["g22_concrete_subclasses"](spark, sf)
     assert {(r["root"], r["concrete"], r["first_class"]) for r in df.collect()} == {(a, len(b), min(b)) for a, b in below.items() if b}
-    assert compare.rows_of(df.columns, df.collect()) == by_sql(sf, entry.oracle_sql()["g22_concrete_subclasses"].replace(" where parent < 20 union", " union"))
+    assert compare.rows_of(df.columns, df.collect()) == by_sql(sf, entry.oracle_sql()["g22_concrete_subclasses"])
 
 
 def test_overlapping_spans_of_all_functions(spark, sf, tmp_path):
@@ -93,7 +92,7 @@ def test_overlapping_spans_of_all_functions(spark, sf, tmp_path):
     df = entry.queries()["j8_overlapping_spans"](spark, str(tmp_path))
     got = [(r["k"], r["other"]) for r in df.collect()]
     assert set(got) == want and len(got) == len(want)
-    assert compare.rows_of(df.columns, df.collect()) == by_sql(tmp_path, entry.oracle_sql()["j8_overlapping_spans"].replace(" and a.argc = 1 and b.argc = 2", ""))
+    assert compare.rows_of(df.columns, df.collect()) == by_sql(tmp_path, entry.oracle_sql()["j8_overlapping_spans"])
 
 
 def test_call_tree_of_every_entry(spark, sf):
@@ -151,8 +150,7 @@ def test_whole_paths_to_sinks(spark):
     class Few:
         cs = spark.createDataFrame([("p", *e.split(">")) for e in edges], "project_name string, src_func string, site_dst string")
 
-        def raw(self, name):
-            return spark.createDataFrame([("p", f, 1.0 if f in "mankd" else 0.0) for f in "mabnckdef"], "project_name string, function_name string, line_cov double")
+        af = spark.createDataFrame([("p", f, 1.0 if f in "mankd" else 0.0) for f in "mabnckdef"], "project_name string, function_name string, line_cov double")
 
     two = [(r["path_no"], r["functions"], r["call_path"]) for r in composed.t6_shortest_paths(Few()).filter("sink = 'xp_open'").orderBy("path_no").collect()]
     assert two == [(1, 3, "n > c > xp_open"), (2, 4, "m > a > b > xp_open")]

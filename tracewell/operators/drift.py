@@ -37,12 +37,13 @@ def valid_json(payload: Column) -> Column:
     return F.when(F.try_variant_get(whole, f"$.{_END}", "int") == 0, F.try_variant_get(whole, "$.p", "variant"))
 
 
-def kind_of(value: Column) -> Column:
-    """Number of the value's kind in ``KINDS``; null for null. Numbers written with a point or an exponent are decimals, and
-    whole numbers of any length integers."""
-    t = F.schema_of_variant(value)
-    number = F.when(t == "BIGINT", 0).when(t == "STRING", 2).when(t == "BOOLEAN", 3).when(t.startswith("ARRAY"), 4).when(t.startswith("OBJECT"), 5)
-    return number.when(t.rlike(r"^DECIMAL\((19|[23]\d),0\)$"), 0).when(t.startswith("DECIMAL") | t.isin("DOUBLE", "FLOAT"), 1)
+def kind_of(value: Column, text: Column) -> Column:
+    """Number of the value's kind in ``KINDS`` from the value and its JSON ``text``; null for null. Numbers written with a point
+    or an exponent are decimals, and whole numbers of any length integers; only for numbers the value itself is asked."""
+    number = F.schema_of_variant(value)
+    whole = (number == "BIGINT") | number.rlike(r"^DECIMAL\((19|[23]\d),0\)$")
+    first = F.substring(text, 1, 1)
+    return F.when(first == "n", F.lit(None).cast("int")).when(first == '"', 2).when(first == "[", 4).when(first == "{", 5).when(first.isin("t", "f"), 3).when(whole, 0).when(text.isNotNull(), 1)
 
 
 def valid_records(raw: DataFrame) -> DataFrame:
@@ -72,11 +73,11 @@ def fields(records: DataFrame, columns: list[str]) -> DataFrame:
     """``columns`` of ``parsed`` records and ``parent``, ``field``, ``kind``, ``text`` of each field of each record: top-level ones, and as fields of
     their parent the members of objects. ``text`` is equal for equal values of one kind only."""
     spark = records.sparkSession
-    top = records.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).filter("key is not null").select(*columns, F.col("key").alias("k1"), F.col("value").alias("v1"), kind_of(F.col("value")).alias("kind1"))
-    both = top.withColumn("o", F.when(F.col("kind1") == KINDS.index("object"), F.col("v1")))
-    inner = both.lateralJoin(spark.tvf.variant_explode_outer(F.col("o").outer())).select(*columns, "k1", "v1", "kind1", F.col("pos").alias("at"), F.col("key").alias("k2"), F.col("value").alias("v2"))
+    top = records.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).filter("key is not null").select(*columns, F.col("key").alias("k1"), F.col("value").alias("v1"), F.to_json("value").alias("t1"))
+    both = top.withColumn("o", F.when(F.col("t1").startswith("{"), F.col("v1")))
+    inner = both.lateralJoin(spark.tvf.variant_explode_outer(F.col("o").outer())).select(*columns, "k1", kind_of(F.col("v1"), F.col("t1")).alias("n1"), "t1", F.col("pos").alias("at"), F.col("key").alias("k2"), F.col("value").alias("v2"), F.to_json("value").alias("t2"))
     own = F.when(F.col("at").isNull() | (F.col("at") == 0), F.col("k1"))
-    told = F.array(F.struct(F.lit("").alias("parent"), own.alias("field"), F.col("kind1").alias("kind"), F.col("v1").cast("string").alias("text")), F.struct(F.col("k1").alias("parent"), F.col("k2").alias("field"), kind_of(F.col("v2")).alias("kind"), F.col("v2").cast("string").alias("text")))
+    told = F.array(F.struct(F.lit("").alias("parent"), own.alias("field"), F.col("n1").alias("kind"), F.col("t1").alias("text")), F.struct(F.col("k1").alias("parent"), F.col("k2").alias("field"), kind_of(F.col("v2"), F.col("t2")).alias("kind"), F.col("t2").alias("text")))
     return inner.select(*columns, F.inline(told)).filter("field is not null")
 
 
@@ -288,5 +289,5 @@ def unified_records(raw: DataFrame, nested: str = NESTED, key: str = "functionNa
     kind = F.when(F.size("k") == 1, F.element_at("k", 1)).when(F.size(F.array_except("k", F.array(F.lit("integer"), F.lit("decimal")))) == 0, "decimal").otherwise("string")
     columns = names.join(kinds.select("canonical", kind.alias("column_type")), "canonical", "left")
     wanted = columns.select("file_id", F.col("field").alias("k"), "canonical", "column_type")
-    top = parsed(records, key).lateralJoin(raw.sparkSession.tvf.variant_explode(F.col("v").outer())).filter("key is not null").select("seq_name", "file_id", "rec", F.col("key").alias("k"), F.when(kind_of(F.col("value")).isNotNull(), F.to_json("value")).alias("json_value"))
+    top = parsed(records, key).lateralJoin(raw.sparkSession.tvf.variant_explode(F.col("v").outer())).filter("key is not null").select("seq_name", "file_id", "rec", F.col("key").alias("k"), F.nullif(F.to_json("value"), F.lit("null")).alias("json_value"))
     return top.join(wanted, ["file_id", "k"]).select(F.col("seq_name").alias("project_name"), "file_id", F.col("rec").alias("function_name"), F.col("canonical").alias("column_name"), F.col("k").alias("field_name"), "column_type", "json_value")

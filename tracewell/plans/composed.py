@@ -210,27 +210,36 @@ def j27_reference_places(t):
     return rows.join(at, ["project_name", "src_func"]).select("project_name", "base", "src_func", (F.col("n") - 2).alias("line_from"), (F.col("n") + 2).alias("line_to"))
 
 
-#: Analyses by name: (tables) -> DataFrame. Each is one query of this package; ``run_analysis`` looks it up.
+#: Analyses by name, in order: (tables) -> DataFrame. Those of the tables' own files are in ``literals`` and found by name.
 ANALYSES = {
     "optimal_targets": selection.t5_greedy_targets,
     "engine_input": selection.w9_dictionary,
     "runtime_coverage": selection.f9_low_coverage,
     "driver_synthesis": u5_driver_lines,
+    "bug_digest": "u8_bug_digest",
     "file_paths": base.j19_file_reach,
     "third_party_calls": base.j13_third_party_calls,
     "metadata": selection.f25_harness_overview,
-    "sink_coverage": j14_sink_callers,
+    "sink_coverage": j14_sink_blockers,
     "annotated_cfg": base.g20_top_level_targets,
     "source_lines": base.j7_line_to_function,
     "far_reach_low_coverage": selection.t4_far_reach,
     "public_candidates": selection.t3_public_order,
+    "frontend_references": selection.j23_file_to_functions,
     "calltree": selection.t2_top_blockers,
     "test_files": selection.f28_files_by_word,
 }
+#: Analyses that answer on their own, without a report around them.
+STANDALONE = ("source_lines", "far_reach_low_coverage", "public_candidates", "frontend_references")
 
 
 def run_analysis(tables, name: str) -> DataFrame:
     """The registered analysis ``name`` over ``tables``."""
     if name not in ANALYSES:
         raise KeyError(f"no analysis {name!r}; there are {', '.join(ANALYSES)}")
-    return ANALYSES[name](tables)
+    found = ANALYSES[name]
+    if isinstance(found, str):
+        from . import literals
+
+        found = getattr(literals, found)
+    return found(tables)

@@ -44,12 +44,13 @@ class Tables:
     def cl(self) -> DataFrame:
         hit = F.when(F.col("l_linenumber") <= F.col("l_partkey") % 8, F.floor("l_quantity")).otherwise(0)
         line = (F.col("l_linenumber") * 10 + F.floor("l_quantity") % 10).cast("long")
-        return self.raw("lineitem").groupBy((F.col("l_suppkey") % 10).alias("h"), F.col("l_partkey").alias("k"), line.alias("line")).agg(F.sum(hit).alias("hits"))
+        return self.raw("lineitem").groupBy(F.col("l_suppkey").alias("h"), F.col("l_partkey").alias("k"), line.alias("line")).agg(F.sum(hit).alias("hits"))
 
     @property
     def ct(self) -> DataFrame:
         w = Window.partitionBy("h").orderBy("event_id")
-        rows = self.raw("events").select((F.col("user_id") % 10).alias("h"), "event_id", "value", "event_type").withColumn("idx", F.row_number().over(w).cast("long") - 1)
+        n = self.raw("supplier").agg(F.count(F.lit(1)).alias("harnesses"))
+        rows = self.raw("events").crossJoin(F.broadcast(n)).select(F.pmod("user_id", "harnesses").alias("h"), "event_id", "value", "event_type").withColumn("idx", F.row_number().over(w).cast("long") - 1)
         shape = F.array(*[F.lit(x) for x in (1, 2, 3, 3, 2, 1, 2, 3)])
         depth = F.when(F.col("idx") == 0, 0).otherwise(F.element_at(shape, F.pmod(F.col("idx") - 1, F.lit(8)).cast("int") + 1)).cast("long")
         return rows.select("h", "idx", depth.alias("depth"), F.when(F.col("event_type") == "error", 0).otherwise(F.floor("value")).cast("long").alias("hits"), (F.col("event_id") % 97).alias("k"), (F.floor("value") % 50).cast("long").alias("line"))
@@ -88,9 +89,9 @@ VIEWS = {
     "ed": """ed as (select distinct src, dst from (select p_partkey src, p_partkey // 3 dst from part union all select p_partkey, p_partkey // 5 from part
         union all select p_partkey, p_partkey * 3 + 1 from part where p_partkey < 4) where src <> dst)""",
     "hs": "hs as (select s_suppkey h, (select max(p_partkey) from part) - 7 * s_suppkey entry from supplier)",
-    "cl": """cl as (select l_suppkey % 10 h, l_partkey k, (l_linenumber*10 + floor(l_quantity)::bigint % 10)::bigint line,
+    "cl": """cl as (select l_suppkey h, l_partkey k, (l_linenumber*10 + floor(l_quantity)::bigint % 10)::bigint line,
         sum(case when l_linenumber <= l_partkey % 8 then floor(l_quantity)::bigint else 0 end)::bigint hits from lineitem group by all)""",
-    "ct": """ct0 as (select user_id % 10 h, event_id, value, event_type, row_number() over (partition by user_id % 10 order by event_id) - 1 idx from events),
+    "ct": """ct0 as (select *, row_number() over (partition by h order by event_id) - 1 idx from (select user_id % (select count(*) from supplier) h, event_id, value, event_type from events)),
       ct as (select h, idx, (case when idx = 0 then 0 else [1,2,3,3,2,1,2,3][(idx - 1) % 8 + 1] end)::bigint depth,
         (case when event_type = 'error' then 0 else floor(value) end)::bigint hits, event_id % 97 k, (floor(value)::bigint % 50) line from ct0)""",
     "ff": "ff as (select * from function_facts qualify row_number() over (partition by project_name, function_name order by load_ts desc) = 1)",

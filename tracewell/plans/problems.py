@@ -132,13 +132,31 @@ e as (select distinct s.project_name, s.src_func src, s.site_dst dst from s
 r as (select project_name, src, dst from e union
       select r.project_name, r.src, e.dst from r join e on e.project_name = r.project_name and e.src = r.dst)"""
 
+#: Parents by the rule of ``hierarchy``: parts are mutual reach, entered by their first link from outside, levels inside.
+_FOREST = _LINKS + """,
+m as (select a.project_name, a.src f, min(a.dst) part from r a join r b on b.project_name = a.project_name and b.src = a.dst and b.dst = a.src group by 1, 2),
+pt as (select n.project_name, n.function_name f, coalesce(m.part, n.function_name) part, m.part is not null on_cycle from n left join m on m.project_name = n.project_name and m.f = n.function_name),
+lp as (select e.project_name, e.src, e.dst, a.part ps, b.part pd from e join pt a on a.project_name = e.project_name and a.f = e.src join pt b on b.project_name = e.project_name and b.f = e.dst),
+dr as (select project_name, pd part, min(struct_pack(s := src, d := dst)) x from lp where ps <> pd group by 1, 2),
+en as (select q.project_name, q.part, q.size, coalesce(dr.x.d, q.part) entry, dr.x.s parent from (select project_name, part, count(*) size from pt group by 1, 2) q left join dr on dr.project_name = q.project_name and dr.part = q.part),
+lv(project_name, part, f, lev, size) as (select project_name, part, entry, 0, size from en union
+ select lv.project_name, lv.part, lp.dst, lv.lev + 1, lv.size from lv join lp on lp.project_name = lv.project_name and lp.src = lv.f and lp.ps = lv.part and lp.pd = lv.part where lv.lev < lv.size),
+ml as (select project_name, f, min(lev) lev from lv group by 1, 2),
+pa as (select project_name, entry f, parent from en union all
+ select lp.project_name, lp.dst, min(lp.src) from lp join ml a on a.project_name = lp.project_name and a.f = lp.src join ml b on b.project_name = lp.project_name and b.f = lp.dst where lp.ps = lp.pd and a.lev = b.lev - 1 group by 1, 2),
+w(project_name, f, root, depth, path) as (select project_name, f, f, 0, [f] from pa where parent is null union all
+ select pa.project_name, pa.f, w.root, w.depth + 1, list_append(w.path, pa.f) from w join pa on pa.project_name = w.project_name and pa.parent = w.f),
+an as (select project_name, f, depth, unnest(path) above, generate_subscripts(path, 1) - 1 lev from w)"""
+
 #: Rows with resolved paths; each replacement takes one level of '..' out, and no path here has more than five.
 _RESOLVED = """
 v0 as (select *, regexp_replace(regexp_replace(function_source_file, '/(\\./)+', '/', 'g'), '/+', '/', 'g') p0 from all_functions_db),
 v1 as (select *, regexp_replace(p0, '/[^/]+/\\.\\./', '/') p1 from v0),
 v2 as (select *, regexp_replace(p1, '/[^/]+/\\.\\./', '/') p2 from v1),
-v3 as (select *, regexp_replace(p2, '/[^/]+/\\.\\./', '/') p3 from v2),
-f as (select project_name, snap_date, function_name, p3 function_source_file, cyclomatic_complexity from v3
+v3 as (select *, regexp_replace(p2, '/[^/]+/\\.\\./', '/') p3a from v2),
+v4 as (select *, regexp_replace(p3a, '/[^/]+/\\.\\./', '/') p4 from v3),
+v5 as (select *, regexp_replace(p4, '/[^/]+/\\.\\./', '/') p3 from v4),
+f as (select project_name, snap_date, function_name, p3 function_source_file, cyclomatic_complexity from v5
       qualify row_number() over (partition by project_name, snap_date, function_name, p3 order by load_ts desc) = 1),
 d as (select project_name, snap_date, lead(snap_date) over w next_date, row_number() over w seq
       from (select distinct project_name, snap_date from all_functions_db) window w as (partition by project_name order by snap_date)),
@@ -161,8 +179,40 @@ t as (select series_kind, entity_name, d,
 
 _MEANS = ", ".join(f"{c}n{n} {name}_days_{n}, {c}s{n}::double {name}_total_{n}, {c}s{n}::double / nullif({c}n{n}, 0) {name}_mean_{n}" for c, name in (("v", "coverage"), ("a", "amount")) for n in (7, 30))
 
+#: Fields of the files of problem 3 with their kinds, values and renames; a rename is the only partner of both its names.
+_DRIFT = """
+x as (select project_name, file_id, written_at, payload from (select *, row_number() over (partition by project_name, file_id, written_at, record_no order by ingest_ts desc nulls last, payload desc nulls last) k from raw_function_files) where k = 1 and json_valid(payload) and json_type(payload) = 'OBJECT'),
+v0 as (select project_name, file_id, written_at, json_extract_string(payload, '$.functionName') rec, payload, unnest(json_keys(payload)) field from x),
+v1 as (select project_name, file_id, written_at, rec, '' parent, field, json_extract(payload, concat('$."', field, '"')) j from v0),
+v2 as (select project_name, file_id, written_at, rec, field parent, j, unnest(json_keys(j)) field from v1 where json_type(j) = 'OBJECT'),
+va as (select project_name, file_id, written_at, rec, parent, field, j from v1 union all select project_name, file_id, written_at, rec, parent, field, json_extract(j, concat('$."', field, '"')) from v2),
+vk as (select *, case when json_type(j) in ('BIGINT', 'UBIGINT', 'HUGEINT') then 'integer' when json_type(j) = 'DOUBLE' then 'decimal' when json_type(j) = 'NULL' then null else lower(json_type(j)) end kind from va),
+pf as (select project_name, file_id, written_at, parent, field, list_sort(list_distinct(list(kind) filter (kind is not null))) kinds from vk group by all),
+fs as (select project_name, file_id, lag(file_id) over (partition by project_name order by written_at, file_id) before_id from (select distinct project_name, file_id, written_at from pf)),
+pr as (select project_name, before_id a, file_id b, '' parent from fs where before_id is not null
+ union all select fs.project_name, before_id, fs.file_id, p.field from fs join pf p on p.file_id = before_id and p.parent = '' and p.kinds = ['object'] join pf q on q.file_id = fs.file_id and q.parent = '' and q.field = p.field and q.kinds = ['object']),
+ga as (select pr.*, p.field, p.kinds from pr join pf p on p.file_id = pr.a and p.parent = pr.parent), gb as (select pr.*, p.field, p.kinds from pr join pf p on p.file_id = pr.b and p.parent = pr.parent),
+ch as (select coalesce(ga.project_name, gb.project_name) project_name, coalesce(ga.a, gb.a) a, coalesce(ga.b, gb.b) b, coalesce(ga.parent, gb.parent) parent, ga.field fa, gb.field fb, ga.kinds ka, gb.kinds kb
+ from ga full join gb on ga.a = gb.a and ga.b = gb.b and ga.parent = gb.parent and ga.field = gb.field),
+gv as (select ch.*, v.rec, v.j::varchar t from ch join vk v on v.file_id = ch.a and v.parent = ch.parent and v.field = ch.fa and v.kind is not null where ch.fb is null),
+cv as (select ch.*, v.rec, v.j::varchar t from ch join vk v on v.file_id = ch.b and v.parent = ch.parent and v.field = ch.fb and v.kind is not null where ch.fa is null),
+rn as (select gv.project_name, gv.b, gv.parent, gv.fa, cv.fb from gv join cv on cv.a = gv.a and cv.b = gv.b and cv.parent = gv.parent and cv.rec = gv.rec group by all having bool_and(gv.t = cv.t)),
+al(project_name, alias) as (select distinct project_name, 'JavaMethodInfo' from fs union select rn.project_name, case when al.alias = rn.fa then rn.fb else rn.fa end from al join rn on rn.project_name = al.project_name and rn.parent = '' and al.alias in (rn.fa, rn.fb)),
+ev as (select project_name, b, parent, 'renamed' kind, fa f, fb g from rn
+ union all select project_name, b, parent, 'retyped', fa, null from ch where fa is not null and fb is not null and ka <> kb and len(ka) > 0 and len(kb) > 0
+ union all select project_name, b, parent, 'removed', fa, null from ch where fb is null and not exists (select 1 from rn where rn.b = ch.b and rn.parent = ch.parent and rn.fa = ch.fa)
+ union all select project_name, b, parent, 'added', fb, null from ch where fa is null and not exists (select 1 from rn where rn.b = ch.b and rn.parent = ch.parent and rn.fb = ch.fb))"""
+
 ORACLES = {
+    "p3_found": f"""with recursive {_DRIFT} select b file_id, kind change_kind, case when parent = '' then f else concat(parent, '.', f) end field_name,
+case when g is null then '' when parent = '' then g else concat(parent, '.', g) end new_name from ev where parent = '' or (project_name, parent) in (select (project_name, alias) from al)""",
     "p1_found": f"with recursive {_LINKS} select distinct project_name, src function_name from r where src = dst",
+    "p1_hierarchy": f"""with recursive {_FOREST},
+dn as (select project_name, above f, count(*) below from an where lev < depth group by 1, 2),
+bk as (select e.project_name, e.src f, string_agg(e.dst, ' | ' order by e.dst) back_to from e join w on w.project_name = e.project_name and w.f = e.src where list_contains(w.path, e.dst) group by 1, 2)
+select w.project_name, w.f function_name, w.root entry_function, pa.parent caller, w.depth::int depth, array_to_string(w.path, ' > ') full_path, coalesce(dn.below, 0)::bigint descendants, pt.on_cycle, coalesce(bk.back_to, '') back_to
+from w join pa on pa.project_name = w.project_name and pa.f = w.f join pt on pt.project_name = w.project_name and pt.f = w.f left join dn on dn.project_name = w.project_name and dn.f = w.f left join bk on bk.project_name = w.project_name and bk.f = w.f""",
+    "p1_descendants": f"with recursive {_FOREST} select project_name, above function_name, f function_below, (depth - lev)::int distance from an where lev < depth",
     "p2_found": f"""with {_RESOLVED}
 select a.project_name, a.snap_date, a.function_name, a.function_source_file, 'added' change_kind from g a
 where a.seq > 1 and not exists (select 1 from g b where b.project_name = a.project_name and b.function_name = a.function_name and b.function_source_file = a.function_source_file and b.seq = a.seq - 1)

@@ -260,8 +260,8 @@ def h3_unique_callees(t):
 
 
 _BLOCKERS = base._SIDE_CC + """, bl as (select project_name, function_name, branch, string_split(string_split(branch, ':')[2], ',')[1]::int bline, count(*) sides from sd group by all),
-cv as (select *, ((bline + 3 * side_no) % 3) * 10 hits, bline % 5 = 0 switched from (select bl.*, unnest(range(case when bline % 11 = 0 then sides + 1 else sides end)) side_no from bl)),
-ag as (select project_name, function_name, branch, bline, sides, switched, count(*) n, count(*) filter (hits = 0) cold, greatest(max(hits), case when switched then bline % 7 else -1 end) diff from cv group by all)
+cv as (select *, ((bline + side_no) % 3) * 10 hits, bline % 5 = 0 switched from (select bl.*, unnest(range(case when bline % 11 = 0 then sides + 1 else sides end)) side_no from bl)),
+ag as (select project_name, function_name, branch, sides, count(*) n, count(*) filter (hits = 0) cold, greatest(max(hits), max(case when switched then bline % 7 else -1 end)) diff from cv group by project_name, function_name, branch, sides)
 select cv.project_name, cv.function_name, cv.branch, cv.side_no::int side_no, string_split(sc.side, ',')[1]::int side_line, sc.unique_not_covered_cc, sc.unique_reachable_cc, sc.not_covered_cc, sc.reachable_cc, ag.diff::int hit_difference
 from cv join ag using (project_name, function_name, branch) join sc on sc.project_name = cv.project_name and sc.function_name = cv.function_name and sc.branch = cv.branch and sc.side_no = cv.side_no
 where cv.hits = 0 and ag.cold < ag.n and ag.n = ag.sides and string_split(sc.side, ',')[1]::int >= cv.bline and string_split(sc.side, ',')[1]::int % 4 <> 1"""
@@ -280,7 +280,7 @@ def j5_branch_coverage(t):
     line = F.split(F.split("branch", ":")[1], ",")[0].cast("int")
     each = sides.groupBy(*key).agg(F.count(F.lit(1)).cast("int").alias("n")).withColumn("line", line)
     size = F.when(F.col("line") % 11 == 0, F.col("n") + 1).otherwise(F.col("n"))
-    counts = F.transform(F.sequence(F.lit(0), size - 1), lambda i: (F.col("line") + 3 * i) % 3 * 10)
+    counts = F.transform(F.sequence(F.lit(0), size - 1), lambda i: (F.col("line") + i) % 3 * 10)
     switch = F.when((F.col("line") % 5 == 0), F.array(F.lit(0), F.col("line") % 7)).otherwise(F.array().cast("array<int>"))
     coverage = each.select(*key, "line", F.concat(switch, counts).alias("hits"), (F.col("line") % 5 == 0).alias("switched"))
     hit = sides.select("project_name", "function_name", "side_line").filter("side_line % 4 = 1").distinct()
