@@ -49,6 +49,22 @@ def c_signature(result: Column, name: Column, params: Column) -> Column:
     return F.when(result.isNull(), "N/A").otherwise(F.concat(c_type(result), F.lit(" "), name, F.lit("("), F.array_join(F.transform(params, c_type), ", "), F.lit(")")))
 
 
+#: Widths of C types in command descriptions; fixed values.
+COMMAND_TYPES = {"char": "int8", "int": "int32", "unsigned int": "int32", "__i32": "int32", "__b32": "int32", "__u32": "int32", "u32": "int32", "__s32": "int32", "s32": "int32", "__u64": "int64", "s64": "int64", "unsigned long long": "int64", "__u8": "int8", "u8": "int8", "__s8": "int8", "__u16": "int16", "u16": "int16"}
+
+
+def command_type(tags: Column) -> Column:
+    """A type for command descriptions, built from the innermost tag outwards; unknown names are structures of that name."""
+    quiet = ["DW_TAG_reference_type", "DW_TAG_structure_type", "DW_TAG_base_type", "DW_TAG_typedef", "DW_TAG_class_type", "DW_TAG_const_type", "DW_TAG_enumeration_type"]
+    known = F.create_map(*[F.lit(v) for pair in COMMAND_TYPES.items() for v in pair])
+
+    def step(a: Column, x: Column) -> Column:
+        size = F.concat(a, F.lit(", "), F.replace(x, F.lit("ARRAY-SIZE:"), F.lit("")))
+        return F.when(x == "DW_TAG_pointer_type", F.concat(F.lit("ptr [in, "), a, F.lit("]"))).when(x.isin(*quiet), a).when(x.contains("ARRAY-SIZE"), size).when(x.contains("DW_TAG_array"), F.concat(F.lit("array["), a, F.lit("]"))).otherwise(F.coalesce(F.try_element_at(known, x), x))
+
+    return F.aggregate(F.reverse(tags), F.lit(""), step)
+
+
 def imports(classes: Column) -> Column:
     """Sorted import lines of public classes: each class, and a wildcard for every level of its package."""
     def of(c: Column) -> Column:

@@ -537,3 +537,37 @@ def g15_block_callees(t):
     calls = t.spark.createDataFrame([(1, "f"), (3, "g"), (4, "h")], "block int, callee string")
     sides = t.spark.createDataFrame([(1,), (2,)], "start int")
     return graph.reach_from(flow, sides).join(calls.withColumnRenamed("block", "node"), "node").select(F.col("start").alias("block"), "callee").distinct()
+
+
+@query("ff af", """, d as (select project_name, function_name, function_source_file f, src_begin b from af where (project_name, snap_date) in (select project_name, max(snap_date) from all_functions_db group by 1)),
+ex as (select project_name, function_name, min(struct_pack(f, b)) x from d group by 1, 2), nr as (select ff.project_name, ff.function_name, max(struct_pack(b := d.b, n := d.function_name)) x from ff join d on d.project_name = ff.project_name and d.f = ff.function_source_file and d.b <= ff.function_linenumber group by 1, 2)
+select ff.project_name, ff.function_name, case when ex.x is not null then ff.function_name else nr.x.n end declared_as, ex.x is not null by_name from ff left join ex using (project_name, function_name) left join nr on nr.project_name = ff.project_name and nr.function_name = ff.function_name""")
+def j6_declaration(t):
+    """Declaration of each function among those of the last snapshot: by its name, else the nearest of its file that begins at
+    or before its line."""
+    from ..operators.joins import asof_backward
+
+    rows = t.raw("all_functions_db")
+    last = rows.groupBy("project_name").agg(F.max("snap_date").alias("snap_date"))
+    known = t.af.join(last, ["project_name", "snap_date"], "left_semi")
+    named = known.select("project_name", "function_name", F.lit(True).alias("by_name")).distinct()
+    asked = t.ff.select("project_name", "function_name", "function_source_file", "function_linenumber").join(named, ["project_name", "function_name"], "left")
+    key = F.concat_ws("\t", "project_name", "function_source_file").alias("by")
+    left = asked.select("project_name", "function_name", "by_name", key, F.col("function_linenumber").cast("long").alias("at"))
+    near = asof_backward(left, known.select(key, F.col("src_begin").cast("long").alias("b"), F.col("function_name").alias("n")), "by", "at", "b", ["n"])
+    return near.select("project_name", "function_name", F.when(F.col("by_name"), F.col("function_name")).otherwise(F.col("n")).alias("declared_as"), F.coalesce("by_name", F.lit(False)).alias("by_name"))
+
+
+@query("ps", """, b as (select project_name, max(coverage_data.line_coverage.percent) best, max_by(lower(coalesce(proj_lang, 'n/a')), snap_date) lang from ps group by 1)
+select lang, floor(best / 10)::int decile, count(*) series from b where best is not null group by 1, 2""")
+def a23_histogram(t):
+    """Series by language and tenth of their best coverage."""
+    b = t.ps.groupBy("project_name").agg(F.max("coverage_data.line_coverage.percent").alias("best"), F.max_by(F.lower(F.coalesce("proj_lang", F.lit("n/a"))), "snap_date").alias("lang"))
+    return b.filter("best is not null").groupBy("lang", F.floor(F.col("best") / 10).cast("int").alias("decile")).agg(F.count(F.lit(1)).alias("series"))
+
+
+@query("", "from (values (1, 'ptr [in, mode]'), (2, 'array[int8, 16]'), (3, 'int64'), (4, 'ptr [in, ptr [in, int32]]')) t(id, text)")
+def u7_command_types(t):
+    """Types for command descriptions from debug tags, innermost last."""
+    rows = [(1, ["DW_TAG_pointer_type", "DW_TAG_const_type", "DW_TAG_structure_type", "mode"]), (2, ["DW_TAG_array", "ARRAY-SIZE:16", "char"]), (3, ["DW_TAG_typedef", "__u64"]), (4, ["DW_TAG_pointer_type", "DW_TAG_pointer_type", "unsigned int"])]
+    return t.spark.createDataFrame(rows, "id int, tags array<string>").select("id", X.command_type(F.col("tags")).alias("text"))

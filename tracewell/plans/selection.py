@@ -43,23 +43,36 @@ def f5_with_source(t):
     return t.ff.filter(P.with_source(F.col("function_source_file"), F.col("function_linenumber"))).select("project_name", "function_name")
 
 
-@query("ff", """, p as (select project_name, min(function_source_file) a, max(function_source_file) b from ff group by 1),
-i as (select project_name, a, b, unnest(range(1, length(a) + 1)) i from p),
-c as (select project_name, max(i) n, any_value(a) a from i where a[i] = '/' and substr(a, 1, i) = substr(b, 1, i) group by 1) select project_name, substr(a, 1, n - 1) prefix from c""")
+_PREFIX = """, src as (select project_name, function_source_file f from ff where function_source_file <> '' and not contains(function_source_file, '/usr/include/')),
+p as (select project_name, min(f) a, max(f) b from src group by 1), i as (select project_name, a, b, unnest(range(1, length(a) + 1)) i from p),
+px as (select project_name, coalesce(max(substr(a, 1, i)) filter (a[i] = '/' and substr(a, 1, i) = substr(b, 1, i)), '/') prefix from i group by 1)"""
+
+
+@query("ff", _PREFIX + " select project_name, prefix from px")
 def f6_common_prefix(t):
-    """Common folder of all files of a project: that of the least and the greatest path."""
-    ends = t.ff.groupBy("project_name").agg(F.min("function_source_file").alias("a"), F.max("function_source_file").alias("b"))
+    """Common folder of all files of a project, system headers left out: that of the least and the greatest path."""
+    files = t.ff.filter("function_source_file <> '' and not contains(function_source_file, '/usr/include/')")
+    ends = files.groupBy("project_name").agg(F.min("function_source_file").alias("a"), F.max("function_source_file").alias("b"))
     a, b = F.split("a", "/"), F.split("b", "/")
     shared = F.array_join(F.transform(F.filter(F.sequence(F.lit(1), F.least(F.size(a), F.size(b)) - 1), lambda i: F.slice(a, 1, i) == F.slice(b, 1, i)), lambda i: F.element_at(a, i)), "/")
-    return ends.select("project_name", shared.alias("prefix"))
+    return ends.select("project_name", F.concat(shared, F.lit("/")).alias("prefix"))
+
+
+@query("ff", _PREFIX + " select ff.project_name, function_name, replace(function_source_file, prefix, '') path from ff join px using (project_name)")
+def f6_relative_paths(t):
+    """Files without the common folder of their project, wherever in the path it stands."""
+    rows = t.ff.join(f6_common_prefix(t), "project_name")
+    return rows.select("project_name", "function_name", F.replace("function_source_file", F.col("prefix"), F.lit("")).alias("path"))
 
 
 @query("fn ed re hs hr hc", """, x as (select f.k, f.argc, f.bb, f.cc + coalesce(sum(g.cc), 0) total, case when h.hc is null then f.cc else 0 end + coalesce(sum(g.cc) filter (hg.hc is null), 0) un, h.hc
 from fn f left join re on re.src = f.k left join fn g on g.k = re.dst and not (g.file = f.file and g.b = f.b and g.e = f.e) left join hc h on h.k = f.k left join hc hg on hg.k = g.k group by f.k, f.argc, f.bb, f.cc, h.hc)
-select k, total::bigint total_cc, un::bigint undiscovered_cc from x where hc is null and argc <> 0 and bb > 1 and total >= 20 and un >= 35""")
+select k, total::bigint total_cc, un::bigint undiscovered_cc from x where hc is null and argc <> 0 and bb > 1 and total >= 20 and un >= 35 and k in (select src from ed) and k in (select k from fn where not contains(name, 'main2') and name <> 'main')""")
 def f8_optimal_candidates(t):
     """Unreached functions with arguments, blocks and enough complexity behind them."""
-    rows = base.a2_complexity(t).join(t.fn.select("k", "argc", "bb"), "k").join(hit_counts(t).select("k"), "k", "left_anti")
+    named = t.fn.filter("not contains(name, 'main2') and name <> 'main'").select("k", "argc", "bb")
+    calling = t.ed.select(F.col("src").alias("k")).distinct()
+    rows = base.a2_complexity(t).join(named, "k").join(calling, "k", "left_semi").join(hit_counts(t).select("k"), "k", "left_anti")
     return rows.filter("argc <> 0 and bb > 1 and total_cc >= 20 and undiscovered_cc >= 35").select("k", "total_cc", "undiscovered_cc")
 
 
@@ -146,19 +159,23 @@ def f18_web_interest(t):
     return last_functions(t).filter("line_cov < 20.0 and fuzzers_reaching > 0").select("project_name", "function_name", "function_source_file", "cyclomatic_complexity", "line_cov")
 
 
-@query("", f"with {_LAST} select project_name, function_name, return_type from l where trim(return_type) = 'int' and contains(lower(function_name), 'table')")
+@query("", f"with {_LAST} select project_name, function_name, function_source_file, return_type from l where return_type = string_split('int<T>', '<')[1] and contains(lower(function_name), 'table') order by project_name, function_name, function_source_file limit 180")
 def f20_search(t):
-    """Functions by return type and part of the name."""
-    return last_functions(t).filter((F.trim("return_type") == "int") & F.lower("function_name").contains("table")).select("project_name", "function_name", "return_type")
+    """Functions by return type (asked for with generics, which are cut off) and part of the name, the first 180."""
+    rows = last_functions(t).filter((F.col("return_type") == F.substring_index(F.lit("int<T>"), "<", 1)) & F.lower("function_name").contains("table"))
+    return rows.select("project_name", "function_name", "function_source_file", "return_type").orderBy("project_name", "function_name", "function_source_file").limit(180)
 
 
 _BAN = "|".join(P.BANNED_PATHS)
 
 
-@query("", f"select distinct function_source_file from all_functions_db where not regexp_matches(function_source_file, '{_BAN}')")
+@query("", f"select distinct project_name, function_source_file from (select project_name, function_source_file from all_functions_db union all values ('my-lib', '/work/x.c'), ('my-lib', '/src/libfuzzer/x.c'), ('mylib', '/work/x.c'), ('MyLib', '/src/MYLIB/a.c')) where not regexp_matches(function_source_file, '{_BAN}') and (contains(lower(function_source_file), concat('/src/', lower(project_name))) or contains(project_name, '-'))")
 def f21_allowed_paths(t):
-    """Source files outside ignored folders."""
-    return t.raw("all_functions_db").filter(P.allowed_path(F.col("function_source_file"))).select("function_source_file").distinct()
+    """Source files outside ignored folders that lie in the project's own folder, or any of a project with a hyphen."""
+    more = t.spark.createDataFrame([("my-lib", "/work/x.c"), ("my-lib", "/src/libfuzzer/x.c"), ("mylib", "/work/x.c"), ("MyLib", "/src/MYLIB/a.c")], "project_name string, function_source_file string")
+    rows = t.raw("all_functions_db").select("project_name", "function_source_file").unionByName(more)
+    own = F.lower("function_source_file").contains(F.concat(F.lit("/src/"), F.lower("project_name"))) | F.col("project_name").contains("-")
+    return rows.filter(P.allowed_path(F.col("function_source_file")) & own).distinct()
 
 
 @query("ff af", base._SIDE_CC + " select project_name, function_name, branch, side_no, unique_not_covered_cc cc from sc where unique_not_covered_cc >= 5")
@@ -229,15 +246,6 @@ def f31_zero_coverage_top(t):
     return last_functions(t).filter("line_cov = 0 or line_cov is null").withColumn("r", F.row_number().over(w)).filter("r <= 5").select("project_name", "function_name", "function_source_file", "cyclomatic_complexity")
 
 
-@query("ff", base._SIDES + """, m as (select project_name, function_name, branch, max(len(callees)) size from sd group by all)
-select project_name, function_name, branch, size::int size from m qualify row_number() over (partition by project_name order by size desc, function_name, branch) <= 4""")
-def f33_top_blockers(t):
-    """The branches with most callees on a side, four of each project."""
-    m = branch_sides(t).groupBy("project_name", "function_name", "branch").agg(F.max(F.size("callees")).alias("size"))
-    w = Window.partitionBy("project_name").orderBy(F.desc("size"), "function_name", "branch")
-    return m.withColumn("r", F.row_number().over(w)).filter("r <= 4").drop("r")
-
-
 @query("fn ed hs hr hc cl cm cf", "select f.name, coalesce(hc.hc, 0) reached_by, coalesce(100.0::double * cf.hit / cf.n, 0) hit_percent from fn f left join hc using (k) left join cf using (k) where f.name in ('fn_0', 'fn_1', 'fn_7', 'fn_99')")
 def f34_inspect(t):
     """Reach and coverage of named functions."""
@@ -267,6 +275,10 @@ from cv join ag using (project_name, function_name, branch) join sc on sc.projec
 where cv.hits = 0 and ag.cold < ag.n and ag.n = ag.sides and string_split(sc.side, ',')[1]::int >= cv.bline and string_split(sc.side, ',')[1]::int % 4 <> 1"""
 
 
+#: The same rows as a view ``b``: the last select of the text becomes one more step.
+_BLOCKERS_AS_B = _BLOCKERS[: _BLOCKERS.rindex("\nselect ")] + ",\nb as (" + _BLOCKERS[_BLOCKERS.rindex("\nselect ") + 1 :] + ")"
+
+
 @query("ff af", _BLOCKERS)
 def j5_branch_coverage(t):
     """Branch blockers: sides never taken of branches of which another side is taken, with what lies behind them.
@@ -287,12 +299,23 @@ def j5_branch_coverage(t):
     return branch_blockers(coverage, sides, hit, key)
 
 
-@query("ff", base._SIDES + """, m as (select project_name, function_name, branch, max(len(callees))::int size, count(*) sides from sd group by all)
-select project_name, function_name, branch, size, sides, row_number() over (order by size desc, sides desc, project_name desc, function_name desc, branch) place from m""")
+_FOUR = "unique_not_covered_cc desc, unique_reachable_cc desc, not_covered_cc desc, reachable_cc desc, project_name, function_name, branch, side_no"
+
+
+@query("ff af", _BLOCKERS_AS_B + f" select project_name, function_name, branch, side_no, row_number() over (order by {_FOUR}) place from b")
 def t1_blocker_order(t):
-    """Branches in the order of four keys, descending, with a stable last key; places by range partitions and offsets."""
-    m = branch_sides(t).groupBy("project_name", "function_name", "branch").agg(F.max(F.size("callees")).alias("size"), F.count(F.lit(1)).alias("sides"))
-    return numbered(m, [F.desc("size"), F.desc("sides"), F.desc("project_name"), F.desc("function_name"), F.asc("branch")])
+    """Blockers by four complexities, greatest first, equal ones in the order of their places; numbers by range partitions and
+    offsets."""
+    keys = [F.desc(c) for c in ("unique_not_covered_cc", "unique_reachable_cc", "not_covered_cc", "reachable_cc")]
+    rows = j5_branch_coverage(t).drop("side_line", "hit_difference")
+    return numbered(rows, [*keys, F.asc("project_name"), F.asc("function_name"), F.asc("branch"), F.asc("side_no")]).select("project_name", "function_name", "branch", "side_no", "place")
+
+
+@query("ff af", _BLOCKERS_AS_B + f" select project_name, function_name, branch, side_no, not_covered_cc from b qualify row_number() over (partition by project_name order by {_FOUR}) <= 6")
+def f33_top_blockers(t):
+    """The first blockers of each project in that order, five and one more as they are printed."""
+    w = Window.partitionBy("project_name").orderBy(*[F.desc(c) for c in ("unique_not_covered_cc", "unique_reachable_cc", "not_covered_cc", "reachable_cc")], "function_name", "branch", "side_no")
+    return j5_branch_coverage(t).withColumn("r", F.row_number().over(w)).filter("r <= 6").select("project_name", "function_name", "branch", "side_no", "not_covered_cc")
 
 
 def numbered(rows: DataFrame, order: list) -> DataFrame:
@@ -410,12 +433,21 @@ def t2_top_blockers(t):
     return reds(t).filter("forward_reds > 0").withColumn("r", F.row_number().over(w)).filter("r <= 12").select("h", "idx", "forward_reds")
 
 
-@query("", f"""with {_LAST}, s as (select *, row_number() over (partition by project_name order by fuzzers_reaching desc nulls last, coalesce(line_cov, 0), cyclomatic_complexity desc nulls last, i_count desc nulls last, src_end - src_begin desc nulls last, return_type, function_name, function_source_file) place from l)
-select project_name, function_name, function_source_file, place from s where place <= 30""")
+@query("ff af", base._SIDE_CC + """, lf as (select project_name, function_name, max(coalesce(line_cov, 0)) cov, max(coalesce(fuzzers_reaching, 0)) reaching from af where (project_name, snap_date) in (select project_name, max(snap_date) from all_functions_db group by 1) group by 1, 2)
+select ff.project_name, ff.function_name, row_number() over (partition by ff.project_name order by coalesce(reaching, 0) > 0, coalesce(cov, 0), coalesce(function_depth, 0) desc, coalesce(cyclomatic_complexity, 0) desc, case when coalesce(reaching, 0) > 0 then 0 else total end,
+coalesce(arg_count, 0) desc, coalesce(function_linenumber_end - function_linenumber, 0) desc, coalesce(reaching, 0), ff.function_name) place from ff join tc using (project_name, function_name) left join lf on lf.project_name = ff.project_name and lf.function_name = ff.function_name""")
 def t3_public_order(t):
-    """Functions of each project in the order of many keys, the first 30."""
-    w = Window.partitionBy("project_name").orderBy(F.desc_nulls_last("fuzzers_reaching"), F.coalesce("line_cov", F.lit(0.0)), F.desc_nulls_last("cyclomatic_complexity"), F.desc_nulls_last("i_count"), F.desc_nulls_last(F.col("src_end") - F.col("src_begin")), "return_type", "function_name", "function_source_file")
-    return last_functions(t).withColumn("place", F.row_number().over(w)).filter("place <= 30").select("project_name", "function_name", "function_source_file", "place")
+    """Functions of each project in the order of the candidates' keys: not reached first, coverage, depth, complexity,
+    undiscovered complexity (all of it behind what nothing reaches), arguments, lines, reaching harnesses; null counts as 0."""
+    rows = t.raw("all_functions_db")
+    last = rows.groupBy("project_name").agg(F.max("snap_date").alias("snap_date"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    seen = t.af.join(last, ["project_name", "snap_date"], "left_semi").groupBy("project_name", "function_name").agg(F.max(zero("line_cov")).alias("cov"), F.max(zero("fuzzers_reaching")).alias("reaching"))
+    key = ["project_name", "function_name"]
+    both = t.ff.join(base.totals(t), key).join(seen, key, "left").fillna(0, ["cov", "reaching"])
+    reached = F.col("reaching") > 0
+    w = Window.partitionBy("project_name").orderBy(reached, "cov", F.desc(zero("function_depth")), F.desc(zero("cyclomatic_complexity")), F.when(reached, 0).otherwise(F.col("total")), F.desc(zero("arg_count")), F.desc(zero(F.col("function_linenumber_end") - F.col("function_linenumber"))), "reaching", "function_name")
+    return both.withColumn("place", F.row_number().over(w)).select("project_name", "function_name", "place")
 
 
 @query("fn ed re cl cm cf", """, i as (select f.k, f.cc from fn f left join cf using (k) where coalesce(100.0::double * hit / n, 0) <= 20 order by f.cc desc, f.k limit 10)
@@ -438,10 +470,14 @@ def t5_greedy_targets(t):
     return series.greedy_targets(rows, t.ed, 1 if n > 10000 else 3 if n > 5000 else 7 if n > 2000 else 10)
 
 
-@query("ed re", "select src k, count(*) reached from re group by 1 qualify row_number() over (order by count(*) desc, src) <= 100")
+@query("ff", "select cap, project_name, function_name from (values (10), (30), (100), (150), (180), (400), (4000)) c(cap) join (select project_name, function_name, row_number() over (order by cyclomatic_complexity desc nulls last, project_name, function_name) place from ff) on place <= cap")
 def t8_capped(t):
-    """The hundred functions that reach most."""
-    return graph.closure(t.ed).groupBy(F.col("src").alias("k")).agg(F.count(F.lit(1)).alias("reached")).orderBy(F.desc("reached"), "k").limit(100)
+    """The most complex functions under each of the seven limits of results; limits are small, so no more than the greatest of
+    them is ever ordered."""
+    top = t.ff.select("project_name", "function_name", "cyclomatic_complexity").orderBy(F.desc_nulls_last("cyclomatic_complexity"), "project_name", "function_name").limit(4000)
+    placed = top.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("cyclomatic_complexity"), "project_name", "function_name")))  # 4000 rows
+    caps = F.filter(F.array(*[F.lit(c) for c in (10, 30, 100, 150, 180, 400, 4000)]), lambda c: c >= F.col("place"))
+    return placed.select(F.explode(caps).alias("cap"), "project_name", "function_name")
 
 
 @query("ff", "select project_name, function_name, function_depth from ff order by function_depth desc nulls last, project_name, function_name limit 50")
