@@ -7,6 +7,17 @@ import pytest
 from tracewell.operators import hierarchy as H
 
 
+@pytest.fixture
+def few_tasks(spark):
+    """Many rounds on tiny tables: one partition, no re-planning."""
+    old = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    for c, v in old.items():
+        spark.conf.set(c, v)
+
+
 def brute_cycles(nodes, links):
     adj = {}
     for ns, a, b in links:
@@ -46,7 +57,7 @@ def forest(seed, n=24, ns="p"):
 
 
 @pytest.mark.parametrize("limits", [{}, {"task_links": 7}, {"task_links": 5, "task_nodes": 5}])
-def test_forest_with_cycles(spark, limits):
+def test_forest_with_cycles(spark, few_tasks, limits):
     nodes, links = forest(1)
     more_nodes, more_links = forest(2, 12, "q")
     nodes, links = nodes + more_nodes, links + more_links
@@ -62,7 +73,7 @@ def test_forest_with_cycles(spark, limits):
     assert all(b in got[(ns, a)]["path"] for ns, a, b in back)
 
 
-def test_limits_give_the_same_paths(spark):
+def test_limits_give_the_same_paths(spark, few_tasks):
     nodes, links = forest(5, 20)
     plain = run(spark, nodes, links)
     large = run(spark, nodes, links, task_links=4, task_nodes=2)
@@ -74,17 +85,6 @@ def test_limits_give_the_same_paths(spark):
 SAME = ("root", "parent", "depth", "path", "descendants", "enter", "leave", "on_cycle", "cycle", "back_to")
 
 
-@pytest.fixture
-def few_tasks(spark):
-    """Many rounds on tiny tables: one partition, no re-planning."""
-    old = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
-    spark.conf.set("spark.sql.shuffle.partitions", "1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    yield
-    for c, v in old.items():
-        spark.conf.set(c, v)
-
-
 def tangled(seed):
     """Several parents, cycles within cycles, a ring, a chain with links back, loops."""
     rnd = random.Random(seed)
@@ -143,7 +143,7 @@ def test_parent_rule_against_brute_force(spark):
     assert [r["path"] for r in order] == sorted((r["path"] for r in order), key=lambda p: (got[("p", p[0])]["component"], p))
 
 
-def test_random_graphs_find_all_cycles(spark):
+def test_random_graphs_find_all_cycles(spark, few_tasks):
     rnd = random.Random(3)
     nodes = [(f"g{g}", f"n{i}", 0) for g in range(4) for i in range(9)]
     links = [(f"g{g}", f"n{rnd.randrange(9)}", f"n{rnd.randrange(9)}", 0) for g in range(4) for _ in range(4 + 3 * g)]
@@ -204,7 +204,7 @@ def reach_of(nodes, links):
 
 
 @pytest.mark.parametrize("limits", [{}, {"task_links": 5, "task_nodes": 3}])
-def test_function_below_a_cycle_is_no_root(spark, limits):
+def test_function_below_a_cycle_is_no_root(spark, few_tasks, limits):
     names = "x y z a b c"
     links = [("p", *e.split(">"), 0) for e in "x>y y>z z>x y>b b>a a>c".split()]
     got = run(spark, [("p", n, 0) for n in names.split()], links, **limits)
@@ -216,7 +216,7 @@ def test_function_below_a_cycle_is_no_root(spark, limits):
 
 
 @pytest.mark.parametrize("limits", [{}, {"task_nodes": 3}])
-def test_roots_against_reachability(spark, limits):
+def test_roots_against_reachability(spark, few_tasks, limits):
     rnd = random.Random(15)
     nodes = [(f"g{g}", f"n{i}", 0) for g in range(12) for i in range(9)]
     links = [(f"g{g}", f"n{rnd.randrange(9)}", f"n{rnd.randrange(9)}", 0) for g in range(12) for _ in range(5 + g)]

@@ -35,7 +35,7 @@ def test_import_without_texts():
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
 
 
-FEW = "p2_found p4_found p5_found p5_per_name g4_calltree_parents a7_hit_summary a11_side_complexity j6_asof_site w5_forward_reds t1_blocker_order h3_unique_callees".split()
+FEW = "p2_found p4_found p5_found p5_per_name g4_calltree_parents a7_hit_summary a11_side_complexity j6_asof_site w5_forward_reds t1_blocker_order h3_unique_callees p1_hierarchy p1_descendants p3_found w1_outage_filter g17_type_chain j3_function_keys j5_branch_coverage j20_texts_that_call s4_coverage_lines s4_coverage_branches s6_go_functions s7_jacoco s9_debug_texts s16_build_status k1_summary_sections x1_texts u7_command_types".split()
 
 
 @pytest.mark.parametrize("name", FEW)
