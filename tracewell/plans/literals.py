@@ -97,7 +97,7 @@ second:
 """
 
 
-@query("", "from (values ('first', 0, 10, 4680), ('first', 1, 11, 4680), ('first', 2, 12, 0), ('first', 3, 14, 36000000), ('first', 4, 15, 2), ('first', 5, 16, 3), ('second', 0, 1, 7)) t(func, pos, line, hits)")
+@query("", "select * replace (hits::bigint as hits) from (values ('first', 0, 10, 4680), ('first', 1, 11, 4680), ('first', 2, 12, 0), ('first', 3, 14, 36000000), ('first', 4, 15, 2), ('first', 5, 16, 3), ('second', 0, 1, 7)) t(func, pos, line, hits)")
 def s4_coverage_lines(t):
     """Lines with a count of a text coverage report."""
     return reports.coverage_report(files(t, ("/c/a.covreport", _REPORT)))[0].select("func", "pos", "line", "hits")
@@ -110,7 +110,7 @@ def s4_coverage_branches(t):
     return rows.select("func", "line", "col", F.array_join(F.col("hits").cast("array<string>"), ",").alias("hits"))
 
 
-@query("", "from (values ('one', 'a', 1), ('one', 'b', 0), ('two', 'a', 1), ('two', 'b', 5)) t(target, func, hits)")
+@query("", "select * replace (hits::bigint as hits) from (values ('one', 'a', 1), ('one', 'b', 0), ('two', 'a', 1), ('two', 'b', 5)) t(target, func, hits)")
 def s4_report_of_target(t):
     """Lines of each target's own report, of all reports for a target without one."""
     found = files(t, ("/c/one.covreport", "a:\n  1|  1|x\nb:\n  2|  0|y\n"), ("/c/three.covreport", "b:\n  2|  5|y\n"))
@@ -127,13 +127,13 @@ def s5_python_coverage(t):
 _GO = "mode: set\npkg/t.go:18.67,20.27 2 1\npkg/t.go:20.28,21.32 2 0\n"
 
 
-@query("", "from (values ('pkg/t.go', 18, 1), ('pkg/t.go', 19, 1), ('pkg/t.go', 20, 1), ('pkg/t.go', 21, 0)) t(file, line, hits)")
+@query("", "select * replace (hits::bigint as hits) from (values ('pkg/t.go', 18, 1), ('pkg/t.go', 19, 1), ('pkg/t.go', 20, 1), ('pkg/t.go', 21, 0)) t(file, line, hits)")
 def s6_go_lines(t):
     """Ranges of statements spread over their lines, the greatest count kept."""
     return reports.go_coverage(files(t, ("/c/fuzz.cov", _GO)))
 
 
-@query("", "from (values ('F', 19, 1), ('F', 20, 1), ('F', 21, 0), ('F', 22, 0), ('G', 1, 0)) t(func, line, hits)")
+@query("", "select * replace (hits::bigint as hits) from (values ('F', 19, 1), ('F', 20, 1), ('F', 21, 0), ('F', 22, 0), ('G', 1, 0)) t(func, line, hits)")
 def s6_go_functions(t):
     """Lines of functions from the coverage files whose path ends with theirs; lines without a count have none."""
     functions = t.spark.createDataFrame([("F", "/t.go", 19, 22), ("G", "t.go", 1, 1), ("H", "other.go", 1, 3), ("N", "t.go", -1, 2)], "func string, file string, b int, e int")
@@ -143,7 +143,7 @@ def s6_go_functions(t):
 _JACOCO = '<report name="r"><package name="p"><class name="p/K" sourcefilename="K.java"><method name="run" desc="(Ljava/lang/String;[I)V" line="3"><counter type="LINE" missed="1" covered="1"/></method></class><sourcefile name="K.java"><line nr="3" mi="0" ci="4"/><line nr="5" mi="2" ci="0"/><line nr="9" mi="0" ci="1"/></sourcefile></package></report>'
 
 
-@query("", "from (values ('[p.K].run(String[],int)', 3, 4), ('[p.K].run(String[],int)', 5, 0)) t(func, line, hits)")
+@query("", "select * replace (hits::bigint as hits) from (values ('[p.K].run(String[],int)', 3, 4), ('[p.K].run(String[],int)', 5, 0)) t(func, line, hits)")
 def s7_jacoco(t):
     """Methods of a JaCoCo file with the counts of their lines; array marks stand on the argument before, as in older keys."""
     at = folder(t)

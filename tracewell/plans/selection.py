@@ -447,7 +447,7 @@ def t3_public_order(t):
     both = t.ff.join(base.totals(t), key).join(seen, key, "left").fillna(0, ["cov", "reaching"])
     reached = F.col("reaching") > 0
     w = Window.partitionBy("project_name").orderBy(reached, "cov", F.desc(zero("function_depth")), F.desc(zero("cyclomatic_complexity")), F.when(reached, 0).otherwise(F.col("total")), F.desc(zero("arg_count")), F.desc(zero(F.col("function_linenumber_end") - F.col("function_linenumber"))), "reaching", "function_name")
-    return both.withColumn("place", F.row_number().over(w)).select("project_name", "function_name", "place")
+    return both.withColumn("place", F.row_number().over(w).cast("long")).select("project_name", "function_name", "place")
 
 
 @query("fn ed re cl cm cf", """, i as (select f.k, f.cc from fn f left join cf using (k) where coalesce(100.0::double * hit / n, 0) <= 20 order by f.cc desc, f.k limit 10)
